@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, sharding, token_counts, warc
+from tessera.llm import packing, quality, sharding, token_counts, warc
 from tessera.llm._common import run_dir
 
 
@@ -43,11 +43,45 @@ FROM m
 """
 
 
+def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-first cleaning of all documents."""
+    return quality.line_quality(documents(spark, sf_dir)).drop("lost", "cleaned")
+
+
+def _sql(pattern: str) -> str:
+    return "'" + pattern.replace("'", "''") + "'"
+
+
+_SPACE = r"[\x20\x09-\x0D]+"
+OP8_SQL = f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, list_filter(regexp_split_to_array(t, {_sql(_SPACE)}), lambda x: x <> '') AS words, string_split(t, chr(10)) AS lines FROM d),
+f AS (SELECT *, list_filter(lines, lambda x: NOT (
+          regexp_matches(x, {_sql(quality.NAVIGATION)}) OR regexp_matches(x, {_sql(quality.BOILERPLATE)})
+          OR len(regexp_extract_all(x, {_sql(quality.NOISY)})) * 3 > len(regexp_extract_all(x, {_sql(quality.WORD)}))
+          OR (len(regexp_extract_all(x, {_sql(quality.WORD)})) BETWEEN 1 AND 2 AND NOT regexp_matches(x, {_sql(quality.CLOSED)})))) AS good,
+      list_filter(lines, lambda x: regexp_matches(x, {_sql(quality.WORD)})) AS worded FROM w),
+win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)),
+rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),
+cov AS (SELECT doc_id, count(DISTINCT p) AS n FROM (SELECT doc_id, unnest([i, i + 1, i + 2]) AS p FROM rep) GROUP BY doc_id),
+m AS (SELECT f.doc_id, len(words) AS n_words, length(regexp_replace(t, {_sql(_SPACE)}, '', 'g')) AS word_chars,
+      length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS n_symbols,
+      len(worded) - len(list_distinct(worded)) AS n_dup_lines, coalesce(cov.n, 0) AS n_repeat_words,
+      length(regexp_replace(array_to_string(good, chr(10)), {_sql(_SPACE)}, '', 'g')) AS good_chars,
+      len(regexp_extract_all(array_to_string(good, chr(10)), {_sql(quality.WORD)})) AS good_words
+      FROM f LEFT JOIN cov USING (doc_id)),
+b AS (SELECT *, n_words < {quality.MIN_WORDS} OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM m)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+       NOT base_failed AND 1 - good_chars / greatest(word_chars, 1) <= {quality.MAX_LOST} AND good_words >= {quality.MIN_WORDS} AS kept
+FROM b
+"""
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 2048 tokens along a Hilbert curve."""
     out = packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), 2048)
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_sharding, op6_warc, op9_packing)}
-SQL = {"op6_warc": OP6_SQL}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op4_sharding, op6_warc, op8_line_quality, op9_packing)}
+SQL = {"op6_warc": OP6_SQL, "op8_line_quality": OP8_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, sharding, token_counts, warc
+from tessera.llm import packing, quality, sharding, simhash, token_counts, warc
 from tessera.llm._common import run_dir
 
 
@@ -20,6 +20,11 @@ def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(documents(spark, sf_dir), path, run_dir(spark, "token-counts"))
 
 
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate classes of all documents."""
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 40 shards of nearly equal bytes."""
     out = sharding.shard_by_bytes(documents(spark, sf_dir), 40)
@@ -83,5 +88,5 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op4_sharding, op6_warc, op8_line_quality, op9_packing)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op6_warc, op8_line_quality, op9_packing)}
 SQL = {"op6_warc": OP6_SQL, "op8_line_quality": OP8_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, sharding, simhash, token_counts, warc
+from tessera.llm import packing, quality, sharding, simhash, token_counts, toxicity, warc
 from tessera.llm._common import run_dir
 
 
@@ -88,5 +88,13 @@ def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op6_warc, op8_line_quality, op9_packing)}
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Toxicity of every document, learnt from the labels that aren't held out."""
+    docs = documents(spark, sf_dir)
+    labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
+    out = toxicity.score(docs, toxicity.train(docs, labels))
+    return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op6_warc, op8_line_quality, op9_packing, op10_toxicity)}
 SQL = {"op6_warc": OP6_SQL, "op8_line_quality": OP8_SQL}

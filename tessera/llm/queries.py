@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import packing, quality, sharding, simhash, token_counts, toxicity, warc
+from tessera.llm import decontaminate, packing, quality, sharding, simhash, token_counts, toxicity, warc
 from tessera.llm._common import run_dir
 
 
@@ -48,6 +48,29 @@ FROM m
 """
 
 
+def op7_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which documents hold which items of the benchmark."""
+    items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
+    return decontaminate.decontaminate(documents(spark, sf_dir), items).drop("score")
+
+
+# the same overlap by plain shingle joins over whole documents
+_TOKENS = "regexp_extract_all(lower(coalesce(text, '')), '[\\p{L}\\p{N}_]+')"
+_GRAMS = "list_distinct(list_transform(range(1, greatest(len({0}) - 3, 2)), lambda i: array_to_string({0}[i:i + 4], ' ')))"
+OP7_SQL = f"""
+WITH d AS (SELECT doc_id, {_GRAMS.format("w")} AS g FROM (SELECT doc_id, {_TOKENS} AS w FROM documents)),
+b AS (SELECT item_id, w, w[1:(len(w) + 1) // 2] AS q, w[(len(w) + 1) // 2 + 1:] AS a FROM (SELECT item_id, {_TOKENS} AS w FROM benchmark) WHERE len(w) > 0),
+p AS (SELECT item_id, 'w' AS part, {_GRAMS.format("w")} AS g FROM b UNION ALL SELECT item_id, 'q', {_GRAMS.format("q")} FROM b UNION ALL SELECT item_id, 'a', {_GRAMS.format("a")} FROM b),
+pg AS (SELECT item_id, part, len(g) AS n, unnest(g) AS s FROM p),
+dg AS (SELECT doc_id, unnest(g) AS s FROM d),
+hit AS (SELECT doc_id, item_id, part, count(*) / any_value(n) AS share FROM pg JOIN dg USING (s) GROUP BY ALL),
+ok AS (SELECT doc_id, item_id FROM hit GROUP BY ALL HAVING max(share) FILTER (part = 'w') >= 0.8 AND max(share) FILTER (part = 'q') >= 0.5 AND max(share) FILTER (part = 'a') >= 0.5),
+o AS (SELECT doc_id, count(*) AS n_items, string_agg(CAST(item_id AS VARCHAR), ',' ORDER BY item_id) AS items FROM ok GROUP BY doc_id)
+SELECT doc_id, n_items IS NOT NULL AS contaminated, coalesce(n_items, 0) AS n_items, coalesce(items, '') AS items
+FROM documents LEFT JOIN o USING (doc_id)
+"""
+
+
 def op8_line_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-first cleaning of all documents."""
     return quality.line_quality(documents(spark, sf_dir)).drop("lost", "cleaned")
@@ -96,5 +119,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op6_warc, op8_line_quality, op9_packing, op10_toxicity)}
-SQL = {"op6_warc": OP6_SQL, "op8_line_quality": OP8_SQL}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op6_warc, op7_decontaminate, op8_line_quality, op9_packing, op10_toxicity)}
+SQL = {"op6_warc": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_line_quality": OP8_SQL}

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, quality, sharding, simhash, token_counts, toxicity, warc
+from tessera.llm import decontaminate, packing, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from tessera.llm._common import run_dir
 
 
@@ -31,6 +31,11 @@ def op4_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    return pii.digest(pii.find(documents(spark, sf_dir)))
+
+
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All pages, written to WARC archives and read back."""
     pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
@@ -119,5 +124,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op6_warc, op7_decontaminate, op8_line_quality, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op5_pii, op6_warc, op7_decontaminate, op8_line_quality, op9_packing, op10_toxicity)}
 SQL = {"op6_warc": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_line_quality": OP8_SQL}

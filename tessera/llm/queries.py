@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontaminate, packing, pii, quality, sharding, simhash, token_counts, toxicity, warc
+from tessera.llm import decontaminate, lm_score, packing, pii, quality, sharding, simhash, token_counts, toxicity, warc
 from tessera.llm._common import run_dir
 
 
@@ -14,6 +14,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
 
 
+def op1_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log probability of every document under an n-gram model of those that aren't held out."""
+    return lm_score.score(documents(spark, sf_dir))
+
+
 def op2_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tokens of every document by the byte-level BPE, through a digest cache."""
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -124,5 +129,5 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", toxicity.held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
-QUERIES = {f.__name__: f for f in (op2_token_counts, op3_simhash, op4_sharding, op5_pii, op6_warc, op7_decontaminate, op8_line_quality, op9_packing, op10_toxicity)}
+QUERIES = {f.__name__: f for f in (op1_lm_score, op2_token_counts, op3_simhash, op4_sharding, op5_pii, op6_warc, op7_decontaminate, op8_line_quality, op9_packing, op10_toxicity)}
 SQL = {"op6_warc": OP6_SQL, "op7_decontaminate": OP7_SQL, "op8_line_quality": OP8_SQL}

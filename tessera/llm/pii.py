@@ -125,7 +125,7 @@ def scored_patterns(occurrences: DataFrame) -> DataFrame:
 
 
 def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """id, base (spans), spans (all, sorted) of every row; spans are (kind's number, s, e) in code points."""
+    """id, h (the text's hash), base (spans) and spans (all, sorted) of every row; spans are (kind's number, s, e) in code points."""
     spark = docs.sparkSession
     t = F.col("t")
     left = F.lower(F.rtrim(F.translate(F.col("x.left"), "\n\t\r", "   ")))
@@ -142,7 +142,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     # one kind for each place, the first listed; a place stands once though two patterns found it
     new = new.groupBy("id", "h", "s").agg(F.min(F.struct("kind", "s", "e")).alias("span")).groupBy("id", "h").agg(F.collect_list("span").alias("more"))
     both = table.select("id", "h", "base").join(new.select(F.col("id").alias("_i"), F.col("h").alias("_h"), "more"), F.col("id").eqNullSafe(F.col("_i")) & (F.col("h") == F.col("_h")), "left")
-    return both.select(F.col("id").alias(id_col), "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
+    return both.select(F.col("id").alias(id_col), table["h"], "base", F.array_sort(F.concat("base", F.coalesce("more", F.array().cast(f"array<{SPAN}>")))).alias("spans"))
 
 
 def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
@@ -151,12 +151,13 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
     return found.select(id_col, *[count(k).alias(f"n_{kind}") for k, kind in enumerate(KINDS)], F.sha2(joined(F.col("base")), 256).alias("base_sha256"), joined(F.col("spans")).alias("spans"))
 
 
-def masked(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """`docs` with each span replaced by its kind in angle brackets; spans that overlap an earlier one are left to it. Joined by id."""
+def masked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """`docs` with each span replaced by its kind in angle brackets; a span that overlaps an earlier one is left to it. Null texts stay null."""
+    found = find(docs, id_col, text)
+    spans = found.where(F.size("spans") > 0).groupBy(F.col(id_col).alias("_id"), F.col("h").alias("_h")).agg(F.first("spans").alias("_spans"))
+    rows = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text)) == F.col("_h")), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    spans = found.groupBy(F.col(id_col).alias("_id")).agg(F.first("spans").alias("_spans"))
-    rows = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")), "left")
-    by_place = F.array_sort(F.transform(F.coalesce("_spans", F.array().cast(f"array<{SPAN}>")), lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    by_place = F.array_sort(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -164,4 +165,4 @@ def masked(docs: DataFrame, found: DataFrame, id_col: str = "doc_id", text: str
         return F.when(x["s"] < acc["pos"], acc).otherwise(F.struct(x["e"].alias("pos"), F.concat(acc["out"], piece).alias("out")))
 
     done = F.aggregate(by_place, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["pos"] + 1, F.length(text))))
-    return rows.withColumn(text, F.when(F.size("_spans") > 0, done).otherwise(F.col(text))).drop("_id", "_spans")
+    return rows.withColumn(text, F.when(F.col("_h").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)

@@ -201,3 +201,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     classes = written(roots.join(smallest, "root").select("fp", "component_id"), run_dir(spark, "simhash-classes"))
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
+    """The rows of `docs` with the smallest id of each class, one row of an id; rows without an id stay only where no row of their class has one."""
+    spark = docs.sparkSession
+    classes = near_duplicates(docs, id_col, text)
+    kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
+    kept = written(kept, run_dir(spark, "simhash-kept"))
+    of = lambda rows: docs.join(rows.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    again = kept.where("_n > 1 AND _id IS NOT NULL")
+    once = of(kept.where("_n = 1 OR _id IS NULL"))
+    return once if again.isEmpty() else once.unionByName(of(again).dropDuplicates([id_col]))

@@ -95,9 +95,9 @@ OP8_SQL = f"""
 WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
 w AS (SELECT *, list_filter(regexp_split_to_array(t, {_sql(_SPACE)}), lambda x: x <> '') AS words, string_split(t, chr(10)) AS lines FROM d),
 f AS (SELECT *, list_filter(lines, lambda x: NOT (
-          regexp_matches(x, {_sql(quality.NAVIGATION)}) OR regexp_matches(x, {_sql(quality.BOILERPLATE)})
+          regexp_matches(x, {_sql(quality.NAVIGATION)}) OR length(x) < 40 AND regexp_matches(x, {_sql(quality.MENU)}) OR regexp_matches(x, {_sql(quality.BOILERPLATE)})
           OR len(regexp_extract_all(x, {_sql(quality.NOISY)})) * 3 > len(regexp_extract_all(x, {_sql(quality.WORD)}))
-          OR (len(regexp_extract_all(x, {_sql(quality.WORD)})) BETWEEN 1 AND 2 AND NOT regexp_matches(x, {_sql(quality.CLOSED)})))) AS good,
+          OR (right(x, 1) <> '.' AND len(regexp_extract_all(x, {_sql(quality.WORD)})) BETWEEN 1 AND 2 AND NOT regexp_matches(x, {_sql(quality.CLOSED)})))) AS good,
       list_filter(lines, lambda x: regexp_matches(x, {_sql(quality.WORD)})) AS worded FROM w),
 win AS (SELECT doc_id, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] AS g FROM (SELECT doc_id, words, unnest(range(1, greatest(len(words) - 1, 1))) AS i FROM w)),
 rep AS (SELECT doc_id, i FROM (SELECT *, count(*) OVER (PARTITION BY doc_id, g) AS c FROM win) WHERE c > 1),

@@ -32,6 +32,8 @@ from tessera.llm._common import text_of
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2_000, 6_000, 20_000
 #: Documents that a term has to explain, its least ratio of rates, lengths of stems.
 MIN_DOCS, MIN_RATIO, STEMS = 3, 10.0, range(4, 10)
+#: What an edit leaves of a term's weight.
+EDIT = 0.6
 #: Words before and after a hit that make its context.
 WINDOW = 6
 #: Words a worker remembers; beyond that it starts anew.
@@ -53,7 +55,7 @@ def allowed(length: int) -> int:
 
 
 class LexiconAutomaton:
-    """Accepts the words within the allowed edits of a term, and those that begin with a stem; the exact term gives 1, each edit halves that."""
+    """Accepts the words within the allowed edits of a term, and those that begin with a stem; each edit takes EDIT off an exact term's weight."""
 
     def __init__(self, terms: dict[str, float], stems: dict[str, float]):
         self.children: list[dict[str, int]] = [{}]
@@ -95,7 +97,7 @@ class LexiconAutomaton:
             self.states[key] = len(self.sets)
             self.sets.append(key)
             self.next.append({})
-            self.final.append(max((w * 0.5**e for n, e, h in key if not h and n in self.term for k, w in [self.term[n]] if e <= k), default=0.0))
+            self.final.append(max((w * EDIT**e for n, e, h in key if not h and n in self.term for k, w in [self.term[n]] if e <= k), default=0.0))
             self.sure.append(max((self.stem[n] for n, e, h in key if not h and not e and n in self.stem), default=0.0))
         return self.states[key]
 
@@ -182,8 +184,9 @@ class Scorer:
         return 1.25 if words & ADDRESS else 1.0
 
     def features(self, text: str) -> list[float]:
-        hits = self.hits(text)
-        return [1.0, min(sum(hits), 4.0), max(hits, default=0.0)]
+        total = sum(self.hits(text))
+        # the first sure hit counts by itself, as texts with one only may be rare among the labelled ones
+        return [1.0, min(total, 1.0) + 0.1 * min(max(total - 1.0, 0.0), 4.0)]
 
     def score(self, text: str) -> float:
         return 1 / (1 + math.exp(-max(-60.0, min(60.0, sum(a * b for a, b in zip(self.curve, self.features(text), strict=True))))))
@@ -211,11 +214,13 @@ def learn(rows: list[tuple[str, int]]) -> Scorer:
             docs[f].add(i)
     docs = {f: s for f, s in docs.items() if len(s) >= MIN_DOCS}
     of_clean: Counter = Counter()
-    clean_words: set[str] = set()
-    for t in clean:
+    clean_words: dict[str, int] = {}  # and the first text that has the word
+    for i, t in enumerate(clean):
         found = doc_features(t)
         of_clean.update(f for f in found if f in docs)
-        clean_words |= {f for f in found if f[-1] != "*"}
+        for f in found:
+            if f[-1] != "*":
+                clean_words.setdefault(f, i)
     ratio = {f: len(s) / max(len(toxic), 1) / ((of_clean[f] + 0.5) / (len(clean) + 1)) for f, s in docs.items()}
     left, chosen, open_ = {f: set(s) for f, s in docs.items() if ratio[f] >= MIN_RATIO}, [], set(range(len(toxic)))
     least = max(MIN_DOCS, math.ceil(0.002 * len(toxic)))
@@ -238,20 +243,22 @@ def learn(rows: list[tuple[str, int]]) -> Scorer:
     weigh = lambda f: min(1.0, math.log(ratio[f]) / math.log(100.0))
     terms = {f: weigh(f) for f in chosen if f[-1] != "*"}
     stems = {f[:-1]: weigh(f) for f in chosen if f[-1] == "*"}
-    safe = [w for w in clean_words if w not in terms]
     probe = LexiconAutomaton(terms, {})
-    safe = [w for w in safe if probe.match(w)]
-    scorer = Scorer(terms, stems, safe, [0.0, 0.0, 0.0])
+    near = {w: n for w, n in clean_words.items() if w not in terms and probe.match(w)}
+    scorer = Scorer(terms, stems, near, [0.0, 0.0])
     if not toxic:
-        scorer.curve = [math.log(0.5 / (len(clean) + 1)), 0.0, 0.0]
+        scorer.curve = [math.log(0.5 / (len(clean) + 1)), 0.0]
         return scorer
-    x = np.array([scorer.features(t) for t, _ in rows])
-    y = np.array([float(v) for _, v in rows])
-    b = np.zeros(3)
+    # the curve is fitted on clean texts whose own words aren't known as safe yet, as those to come won't be
+    half = len(clean) // 2
+    fitting = Scorer(terms, stems, [w for w, i in near.items() if i < half], scorer.curve)
+    x = np.array([fitting.features(t) for t in toxic + clean[half:]])
+    y = np.array([1.0] * len(toxic) + [0.0] * (len(clean) - half))
+    b = np.zeros(2)
     for _ in range(50):  # Newton's method with a small penalty
         p = 1 / (1 + np.exp(-np.clip(x @ b, -60, 60)))
-        grad = x.T @ (p - y) + 0.05 * b
-        b -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3), grad)
+        grad = x.T @ (p - y) + 0.01 * b
+        b -= np.linalg.solve((x * (p * (1 - p))[:, None]).T @ x + 0.01 * np.eye(2), grad)
     scorer.curve = b.tolist()
     return scorer
 

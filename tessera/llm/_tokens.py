@@ -10,6 +10,7 @@ library whole.
 from __future__ import annotations
 
 import os
+import unicodedata
 from collections.abc import Iterator
 from itertools import chain
 
@@ -22,6 +23,10 @@ SLICE = 200
 #: Punctuation that ends a word; letters and digits never join with it.
 TAIL = ".,;:!?%$&*#|"
 
+#: Byte-level BPE shows each byte as a printable character: itself where it is one, else the next from 256 on.
+SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
+SHOWN = str.maketrans({b: chr(b if b in SHOWN else 256 + sum(x not in SHOWN for x in range(b))) for b in range(256)})
+
 _loaded: dict[tuple[type, str], object] = {}
 
 
@@ -39,6 +44,7 @@ class Units(dict):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
 
     @classmethod
     def of(cls, path: str):
@@ -57,7 +63,14 @@ class Units(dict):
             missing = set(chain.from_iterable(split))
         parts = {key: self.parts(key) for key in missing}
         new = [k for k in set(chain.from_iterable(parts.values())) if k not in self]
-        for key, ids in zip(new, self.encoded([self.shown(k) for k in new]), strict=True):
+        # a word of letters is one piece to the library's splitter, so its model can be asked at once
+        merge, whole = self.model.tokenize, []
+        for key in new:
+            if self.lettered(key):
+                self[key] = self.value([t.id for t in merge(self.lead + (key if key.isascii() else key.encode().decode("latin-1").translate(SHOWN)))])
+            else:
+                whole.append(key)
+        for key, ids in zip(whole, self.encoded([self.shown(k) for k in whole]), strict=True):
             self[key] = self.value(ids)
         for key, made in parts.items():
             if key not in self:
@@ -76,8 +89,13 @@ class ByteUnits(Units):
     and "\\2" for nothing in place of the space.
     """
 
+    #: how a space before a word is shown
+    lead = " ".translate(SHOWN)
     MIXED = -(1 << 50)  # makes a sum negative: only the whole text can settle it
 
+    def lettered(self, key: str) -> bool:
+        return key.isalpha()
+
     def shown(self, key: str) -> str:
         lead = {"\0": "\n", "\2": ""}.get(key[:1])
         return " " + key if lead is None else lead + key[1:]
@@ -113,6 +131,11 @@ class WordUnits(Units):
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer don't fit 16 bits")
 
+    lead = ""
+
+    def lettered(self, key: str) -> bool:
+        return key.isalpha() and key == key.lower() and unicodedata.is_normalized("NFC", key)
+
     def shown(self, key: str) -> str:
         return key[1:] if key[:1] == "\2" else key
 
@@ -122,16 +145,13 @@ class WordUnits(Units):
     def joined(self, parts: list[bytes]) -> bytes:
         return b"".join(parts)
 
-    def parts(self, key: str) -> list[str]:
-        # Python's lower() and the library's differ only where one letter depends on its neighbours
-        if key.isascii() or not any(c in "Σİ" for c in key):
-            return [p.lower() for p in super().parts(key)]
-        return [key]
 
     def ids(self, texts: list[str]) -> Iterator[bytes]:
         """The ids of each text."""
         for at in range(0, len(texts), SLICE):
-            split = [t.replace("\n", " ").split(" ") if "\2" not in t else [] for t in texts[at : at + SLICE]]
+            # Python's lower() and the library's differ only where a letter depends on its neighbours or grows
+            low = [t if "Σ" in t or "İ" in t else t.lower() for t in texts[at : at + SLICE]]
+            split = [t.replace("\n", " ").split(" ") if "\2" not in t else [] for t in low]
             self.fill(split)
             for t, x in zip(texts[at : at + SLICE], split, strict=True):
                 yield b"".join(map(self.__getitem__, x)) if x else self.value(self.encoded([t])[0])

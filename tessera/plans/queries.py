@@ -15,6 +15,7 @@ from tessera.operators import corpus as C
 from tessera.operators import findings as N
 from tessera.operators import metrics as M
 from tessera.operators import review as R
+from tessera.operators import rules as X
 from tessera.sources.corpus import code_corpus, table
 from tessera.streaming import webhook
 
@@ -271,3 +272,34 @@ def webhook_outcomes(spark: SparkSession, sf_dir: str) -> DataFrame:
     events = table(spark, sf_dir, "events").select("event_id", "user_id", pick(3, "ping", "push", "pull_request").alias("event"), body.alias("body"))
     events = events.withColumn("signature", F.when(F.col("event_id") % 5 == 0, "sha256=00").otherwise(sign("body")))
     return webhook.routed(events, "key").select("event_id", "status", "outcome", "pr")
+
+
+@query()
+def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings of the pattern rules in every document and every page."""
+    docs = table(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("key"), F.col("text").alias("code"))
+    pages = table(spark, sf_dir, "pages").select(F.concat(F.lit("p"), "page_id").alias("key"), F.col("html").alias("code"))
+    return X.scan_table(docs.unionByName(pages), "key", "code")
+
+
+@query()
+def diff_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Findings on the lines that the diffs add, with severities, in order of gravity."""
+    lines = N.parse_diffs(_diffs(spark, sf_dir))
+    found = X.scan_table(N.new_sides(lines).withColumn("key", F.struct("diff_id", "path")), "key", "text")
+    placed = found.select(F.col("key.diff_id").alias("diff_id"), F.col("key.path").alias("path"), "line", "cwe", "rule_id", "confidence", "evidence")
+    return N.on_added_lines(placed, lines).withColumn("severity", taxonomy.severity(F.col("cwe")))
+
+
+@query(_CORPUS + "SELECT row_id, label, CASE WHEN row_id % 9 = 8 THEN 'safe' ELSE CASE row_id % 9 WHEN 0 THEN 'safe' WHEN 1 THEN 'CWE-89' WHEN 2 THEN 'MEMORY-OOB' WHEN 3 THEN 'MEMORY-OOB' WHEN 4 THEN 'CWE-20' WHEN 5 THEN 'CWE-476' WHEN 6 THEN 'safe' ELSE 'CWE-94' END END AS predicted, row_id % 9 IN (6, 8) AS outside FROM lab")
+def predictions_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Predictions of an older label set on the classes."""
+    raw = F.get(F.array(*map(F.lit, ["safe", "CWE-89", "CWE-119", "CWE-125", "CWE-20", "CWE-476", "CWE-416", "CWE-94", "CWE-190"])), (F.col("row_id") % 9).cast("int"))
+    rows = labelled(spark, sf_dir).withColumn("f", taxonomy.fold_prediction(raw))
+    return rows.select("row_id", "label", F.col("f.label").alias("predicted"), F.col("f.outside").alias("outside"))
+
+
+@query(_CORPUS + "SELECT source, count(*) AS n FROM lab GROUP BY source")
+def source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labelled rows of each source, most first."""
+    return M.histogram(labelled(spark, sf_dir), "source")

@@ -1,28 +1,33 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
-Test items, in blocks of BLOCK_ITEMS, make an inverted index. Every document
-is read as overlapping passages twice as long as the longest item, so each
-run of words as long as an item lies whole in one of them. A passage queries
-the index for all items that reach THETA of the score that the item has
-against itself; sums of the terms' largest impacts skip passages, and block
-maxima skip postings, that can't reach it. Items retrieved are verified on
-word shingles: MIN_OVERLAP of the whole, and MIN_PART of the question (first
-half of the words) and of the answer (second half), have to be in the passage.
-
-THETA is below what any passage with that overlap scores, as one missing
-shingle in five leaves at most a fifth of the words out, so nothing that
-verification would accept is lost. Null and empty texts and items match
-nothing, an item below five words is one shingle, null ids and repeated rows
-stay as they are, other columns are ignored; empty tables are fine.
+Test items, at most about BLOCK_ITEMS at once, make an inverted index, in
+order of their length and in blocks of BLOCK neighbours. Every document is
+read, for each block, as overlapping passages twice as long as the block's
+longest item, so each run of words as long as an item lies whole in one of
+them. A passage queries the index for all items whose score reaches the least
+that verification could accept. Sums of block maxima skip passages and blocks
+that can't reach it; in what remains WAND finds the items. Those are verified
+on word shingles: MIN_OVERLAP of the whole, and MIN_PART of the question
+(first half of the words) and of the answer (second half), have to be in the
+passage.
+
+The least score of an item is exact: with a share of MIN_OVERLAP of the
+shingles in place, as many words can be missing at its two ends as shingles
+are, and four fewer inside; the heaviest such loss is taken off the item's
+score against itself. So retrieval loses nothing that verification
+would accept. Null and empty texts and items match nothing, an item below
+five words is one shingle, null ids and repeated rows stay as they are, other
+columns are ignored; empty tables are fine.
 """
 
 from __future__ import annotations
 
 import math
 import re
-from collections import Counter, defaultdict
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -32,8 +37,10 @@ from tessera.llm._common import text_of
 
 WORDS = re.compile(r"\w+")
 SHINGLE, MIN_OVERLAP, MIN_PART = 5, 0.8, 0.5
-#: BM25's constants, share of an item's own score, postings of a block, items of an index.
-K1, B, THETA, POSTINGS, BLOCK_ITEMS = 1.2, 0.75, 0.5, 32, 20_000
+#: BM25's constants, items of a block, items of an index.
+K1, B, BLOCK, BLOCK_ITEMS = 1.2, 0.75, 8, 20_000
+#: Terms in more than this share of the items only ever add to a passage's bound as a whole.
+COMMON = 0.05
 
 
 def shingles(words: list[str]) -> set[tuple[str, ...]]:
@@ -41,72 +48,120 @@ def shingles(words: list[str]) -> set[tuple[str, ...]]:
 
 
 class Index:
-    """Inverted index of test items whose impacts are shares of each item's own score."""
+    """Inverted index of test items; an impact is a share of the least score that the item can be accepted with, so 1 is the threshold."""
 
     def __init__(self, items: list[tuple[int, str]]):
-        self.items = sorted((i, WORDS.findall(t.lower())) for i, t in items)
-        self.items = [(i, w) for i, w in self.items if w]
+        read = [(i, WORDS.findall(t.lower())) for i, t in items]
+        self.items = sorted(((i, w) for i, w in read if w), key=lambda x: (len(x[1]), x[0], x[1]))
         n = len(self.items)
         mean = sum(len(w) for _, w in self.items) / max(n, 1)
         df = Counter(t for _, w in self.items for t in set(w))
         idf = {t: math.log(1 + (n - d + 0.5) / (d + 0.5)) for t, d in df.items()}
-        postings: dict[str, list[tuple[int, float]]] = defaultdict(list)
-        self.parts, self.longest = [], 0
+        self.term = {t: k for k, t in enumerate(df)}
+        self.docs: list[list[int]] = [[] for _ in df]
+        self.impacts: list[list[float]] = [[] for _ in df]
+        self.parts = []
+        blocks = -(-n // BLOCK)
+        maxima: list[dict[int, float]] = [{} for _ in df]
+        common = {t for t, d in df.items() if d > max(1.0, COMMON * n)}
+        self.longest = np.ones(blocks, np.int64)
+        slack = np.zeros(blocks)
         for k, (_, w) in enumerate(self.items):
             norm = K1 * (1 - B + B * len(w) / mean)
             impact = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in Counter(w).items()}
-            own = sum(impact.values())
+            least = sum(impact.values()) - self.heaviest_loss(w, impact)
             for t, x in impact.items():
-                postings[t].append((k, x / own))
+                term, x = self.term[t], x / least
+                self.docs[term].append(k)
+                self.impacts[term].append(x)
+                if t not in common:
+                    maxima[term][k // BLOCK] = max(maxima[term].get(k // BLOCK, 0.0), x)
             half = (len(w) + 1) // 2
             self.parts.append((shingles(w), shingles(w[:half]), shingles(w[half:]) or shingles(w)))
-            self.longest = max(self.longest, len(w))
-        self.term = {t: i for i, t in enumerate(postings)}
-        self.docs = [[k for k, _ in p] for p in postings.values()]
-        self.impacts = [[x for _, x in p] for p in postings.values()]
-        #: largest impact in each block of postings, and of each term (0 for words outside the index)
-        self.blocks = [[max(x[i : i + POSTINGS]) for i in range(0, len(x), POSTINGS)] for x in self.impacts]
-        self.most = np.array([*map(max, self.impacts), 0.0])
-
-    def retrieve(self, terms: list[int], theta: float = THETA) -> list[tuple[int, float]]:
-        """(item, score) of all items at theta or above for these distinct terms, by block-max WAND."""
-        cursors = [[self.docs[t][0], 0, t] for t in terms]
+            self.longest[k // BLOCK] = max(self.longest[k // BLOCK], len(w))
+            slack[k // BLOCK] = max(slack[k // BLOCK], sum(x for t, x in impact.items() if t in common) / least)
+        self.need = 1 - 1e-9 - slack
+        #: rare terms' block maxima, term after term
+        self.first = np.concatenate([[0], np.cumsum([len(m) for m in maxima] + [0])])
+        self.block = np.array([b for m in maxima for b in m], np.int64)
+        self.most = np.array([x for m in maxima for x in m.values()])
+        self.term_most = [max(x) for x in self.impacts]
+
+    @staticmethod
+    def heaviest_loss(w: list[str], impact: dict[str, float]) -> float:
+        """The most that may be missing from an item's score while MIN_OVERLAP of its shingles are there."""
+        lost = len(shingles(w)) - math.ceil(MIN_OVERLAP * len(shingles(w)) - 1e-9)
+        # equal shingles are one: each of them may hide as many places as it has
+        lost += max(0, len(w) - SHINGLE + 1 - len(shingles(w)))
+        lost = min(lost, len(w))
+        ends = [max(sum(impact[t] for t in {*w[:head], *w[len(w) - (j - head) :]}) for head in range(j + 1)) for j in range(lost + 1)]
+        # k words inside cost SHINGLE - 1 shingles more than k; they may be the heaviest, and the rest be lost at the ends
+        heavy = np.concatenate([[0.0], np.cumsum(sorted(impact.values(), reverse=True))])
+        inside = [heavy[min(k, len(heavy) - 1)] + ends[lost - SHINGLE + 1 - k] for k in range(1, lost - SHINGLE + 2)]
+        best = max([ends[lost], *inside])
+        return min(best, 0.9 * sum(impact.values()))
+
+    def passages(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
+        """(block, start, end) of the passages whose bound reaches the threshold."""
+        found = []
+        n = len(ids)
+        at = np.flatnonzero(ids >= 0)
+        count = self.first[ids[at] + 1] - self.first[ids[at]]
+        own = np.repeat(at, count)
+        flat = np.repeat(self.first[ids[at]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        block, most = self.block[flat], self.most[flat]
+        stride = self.longest[block]
+        window = own // stride
+        # a place lies in the passage that begins in its stride and in the one before
+        key = np.concatenate([(block << 40) | window, ((block << 40) | (window - 1))[window > 0]])
+        keys, where = np.unique(key, return_inverse=True)
+        bound = np.bincount(where, np.concatenate([most, most[window > 0]])) if len(key) else np.zeros(0)
+        b = keys >> 40
+        hit = bound >= self.need[b] if len(keys) else np.zeros(0, bool)
+        found += [(int(x), int(k) * int(self.longest[x]), min(n, (int(k) + 2) * int(self.longest[x]))) for x, k in zip(b[hit], keys[hit] & ((1 << 40) - 1), strict=True)]
+        # blocks that common terms alone could fill
+        for x in np.flatnonzero(self.need <= 0).tolist():
+            step = int(self.longest[x])
+            found += [(x, s, min(n, s + 2 * step)) for s in range(0, max(1, n - step + 1), step)]
+        return sorted(set(found))
+
+    def retrieve(self, terms: list[int], block: int) -> list[tuple[int, float]]:
+        """(item, score) of all items of a block at the threshold or above for these distinct terms, by WAND."""
+        first, end = block * BLOCK, (block + 1) * BLOCK
+        cursors = []
+        for t in terms:
+            p = self.seek(t, 0, first)
+            if p < len(self.docs[t]) and self.docs[t][p] < end:
+                # the term's largest impact within the block bounds it there
+                q = self.seek(t, p, end)
+                cursors.append([self.docs[t][p], p, t, max(self.impacts[t][p:q]), q])
         found = []
         while cursors:
             cursors.sort()
             bound, pivot = 0.0, -1
-            for i, (_, _, t) in enumerate(cursors):
-                bound += self.most[t]
-                if bound >= theta:
+            for i, c in enumerate(cursors):
+                bound += c[3]
+                if bound >= 1 - 1e-9:
                     pivot = i
                     break
             if pivot < 0:
                 break
-            at = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == at:
-                pivot += 1
-            # block maxima around the pivot, without moving any cursor
-            block = 0.0
-            for d, p, t in cursors[: pivot + 1]:
-                q = p if d >= at else self.seek(t, p, at)
-                if q < len(self.docs[t]):
-                    block += self.blocks[t][q // POSTINGS]
-            if block >= theta and cursors[0][0] == at:
-                score = sum(self.impacts[t][p] for d, p, t in cursors[: pivot + 1])
-                if score >= theta:
-                    found.append((at, score))
-                to = at + 1
-            else:
-                to = at if block >= theta else at + 1
+            item = cursors[pivot][0]
+            if cursors[0][0] == item:
+                score = sum(self.impacts[c[2]][c[1]] for c in cursors if c[0] == item)
+                if score >= 1 - 1e-9:
+                    found.append((item, score))
+                item += 1
+            # what lies before the pivot can't reach the threshold
             moved = []
-            for c in cursors[: pivot + 1]:
-                if c[0] < to:
-                    c[1] = self.seek(c[2], c[1], to)
-                    if c[1] >= len(self.docs[c[2]]):
+            for c in cursors:
+                if c[0] < item:
+                    c[1] = self.seek(c[2], c[1], item)
+                    if c[1] >= c[4]:
                         continue
                     c[0] = self.docs[c[2]][c[1]]
                 moved.append(c)
-            cursors = moved + cursors[pivot + 1 :]
+            cursors = moved
         return found
 
     def seek(self, term: int, at: int, item: int) -> int:
@@ -128,18 +183,10 @@ class Index:
         words = WORDS.findall(text.lower())
         if not words or not self.items:
             return {}
-        ids = np.fromiter(map(self.term.get, words, [-1] * len(words)), np.int64, len(words))
-        window = 2 * self.longest
-        # a passage's bound: the sum of its terms' largest impacts, a term counted as often as it occurs
-        total = np.concatenate([[0.0], np.cumsum(self.most[ids])])
-        starts = np.arange(0, max(1, len(words) - self.longest), self.longest)
-        ends = np.minimum(starts + window, len(words))
+        ids = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
         out: dict[int, float] = {}
-        for s, e in zip(starts[total[ends] - total[starts] >= THETA].tolist(), ends[total[ends] - total[starts] >= THETA].tolist(), strict=True):
-            terms = [t for t in set(ids[s:e].tolist()) if t >= 0]
-            if self.most[terms].sum() < THETA:
-                continue
-            got = self.retrieve(terms)
+        for block, s, e in self.passages(ids):
+            got = self.retrieve([t for t in set(ids[s:e].tolist()) if t >= 0], block)
             if got:
                 passage = shingles(words[s:e])
                 short = {len(x) for k, _ in got for part in self.parts[k] for x in part} - {SHINGLE}

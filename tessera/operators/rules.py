@@ -1,4 +1,4 @@
-"""The pattern rules over texts: an Arrow function, as masking comments and reading calls go letter by letter.
+"""The rules over texts, by patterns and by the syntax of what parses as Python: an Arrow function, as masking comments and reading calls go letter by letter.
 
 A text is read once into a `Source`, which keeps what several rules ask for;
 each check of the rule table is a function of the source and the hit.
@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import rule_table as T
 from tessera.functions.taxonomy import CLASSES
+from tessera.operators import python_rules
 
 FINDING = "seq int, cwe string, name string, confidence double, line int, rule_id string, evidence string"
 
@@ -81,11 +82,13 @@ def security_use(names: list[str]) -> bool:
 class Source:
     """A text and what the checks ask of it."""
 
-    def __init__(self, code: str):
+    def __init__(self, code: str, prose: set[int] = frozenset()):
         self.lines = code.splitlines()
         self.code = code[: T.MAX_SCAN_CHARS]
         self.masked = masked(self.code)
         self.starts = [0, *(m.end() for m in re.finditer("\n", self.code))]
+        if prose:  # lines of docstrings, blanked in place
+            self.masked = "\n".join(" " * len(x) if i in prose else x for i, x in enumerate(self.masked.split("\n"), 1))
 
     @cached_property
     def has_sql(self) -> bool:
@@ -205,23 +208,33 @@ def unchecked_pointers(s: Source) -> Iterator[tuple[str, str, float, int]]:
 
 
 def scan(code: str | None, min_confidence: float = 0.0) -> list[dict]:
-    """Findings of a text, by line, falling confidence and rule; the most confident of a class and line only."""
+    """Findings of a text, by line, falling confidence and rule; of the patterns the most confident of a class and line only, and none where the syntax rules have found the class."""
     if not code or not code.strip():
         return []
-    s = Source(code)
-    hits = [(rule, cwe, sure, s.line_at(m.start())) for rule, cwe, sure, pattern, check, _ in _rules if not check.startswith("sql") or s.has_sql for m in pattern.finditer(s.masked) if CHECKS[check](s, m, cwe)]
-    hits += [*secrets(s), *unchecked_pointers(s)]
+    tree = python_rules.parsed(code)
+    module = None if tree is None else python_rules.Module(tree)
+    s = Source(code, module.doc_lines if module else frozenset())
+    found: dict[tuple[str, int], tuple] = {}
+    for rule, cwe, sure, line, text in python_rules.findings(module, s.lines) if module else ():
+        found.setdefault((rule, line), (rule, cwe, sure, line, text))
+    covered = {(cwe, line) for _, cwe, _, line, _ in found.values()}
+    hits = [(rule, cwe, sure, s.line_at(m.start()), None) for rule, cwe, sure, pattern, check, syntax in _rules if not (module and syntax) and (not check.startswith("sql") or s.has_sql) for m in pattern.finditer(s.masked) if CHECKS[check](s, m, cwe)]
+    if not module:
+        hits += [(*h, None) for h in (*secrets(s), *unchecked_pointers(s))]
     best: dict[tuple[str, int], tuple] = {}
     for h in hits:
         if h[2] > best.get((h[1], h[3]), (None, None, -1.0))[2]:
             best[h[1], h[3]] = h
-    found = sorted((h for h in best.values() if h[2] >= min_confidence), key=lambda h: (h[3], -h[2], h[0]))
+    for h in best.values():
+        if (h[1], h[3]) not in covered:
+            found.setdefault((h[0], h[3]), h)
+    ordered = sorted((h for h in found.values() if h[2] >= min_confidence), key=lambda h: (h[3], -h[2], h[0]))
 
-    def shown(line: int) -> str:
-        text = " ".join(s.line(line).split())
+    def shown(line: int, text: str | None) -> str:
+        text = " ".join((s.line(line) if text is None else text).split())
         return text if len(text) <= T.MAX_EVIDENCE_CHARS else text[: T.MAX_EVIDENCE_CHARS - 3] + "..."
 
-    return [{"seq": i, "cwe": cwe, "name": CLASSES[cwe][0], "confidence": sure, "line": line, "rule_id": rule, "evidence": shown(line)} for i, (rule, cwe, sure, line) in enumerate(found)]
+    return [{"seq": i, "cwe": cwe, "name": CLASSES[cwe][0], "confidence": sure, "line": line, "rule_id": rule, "evidence": shown(line, text)} for i, (rule, cwe, sure, line, text) in enumerate(ordered)]
 
 
 def scan_table(df: DataFrame, id_col: str, code: str, min_confidence: float = 0.0) -> DataFrame:

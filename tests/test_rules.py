@@ -4,18 +4,26 @@ from tessera.functions import rule_table as T
 from tessera.operators.rules import CHECKS, arguments, masked, scan, scan_table, secret_name, secret_value
 
 FIRES = [
-    ("<?php eval($x);", "RX-PHP-EVAL"), ("char b[8];\ngets(b);", "RX-C-GETS"), ('scanf("%s", b);', "RX-C-SCANF-S"), ("system(cmd);", "RX-C-SYSTEM"),
+    ("<?php eval($x);", "RX-PHP-EVAL"), ("char b[8];\ngets(b);", "RX-C-GETS"), ('scanf("%s", b);}', "RX-C-SCANF-S"), ("void f() {\nsystem(cmd);\n}", "RX-C-SYSTEM"),
     ("char b[8];\nstrcpy(b, src);", "RX-C-STRCPY-FIXED"), ('char b[8];\nsprintf(b, "%s", src);', "RX-C-SPRINTF-FIXED"), ("char b[8];\nmemcpy(b, p, n);", "RX-C-MEMCPY-FIXED"),
-    ('el.innerHTML = "<b>" + q;', "RX-JS-INNERHTML"), ('stmt.executeQuery("SELECT a FROM t WHERE id=" + id);', "RX-SQL-CONCAT"),
-    ("requests.get(u, verify=False)", "RX-TLS-VERIFY-OFF"), ("yaml.load(data)", "RX-PY-YAML-LOAD"), ("pickle.loads(blob)", "RX-PY-PICKLE-LOAD"),
-    ("subprocess.run(cmd, shell=True)", "RX-PY-SHELL-TRUE"), ('spawn("sh", ["-c", cmd])', "RX-SHELL-DASH-C"), ("h = hashlib.md5(password)", "RX-PY-WEAK-HASH"),
-    ('db_password = "hunter2x9"', "RX-HARDCODED-SECRET"), ("p = malloc(n);\nx = 1;\np->y = 2;", "RX-C-NULL-DEREF"), ("echo $_GET['a'];", "RX-PHP-ECHO-INPUT"),
-    ("out.println(request.getParameter(\"x\"))", "RX-JSP-XSS"), ("new ObjectInputStream(in)", "RX-JAVA-OBJECTINPUTSTREAM"),
+    ('var a;\nel.innerHTML = "<b>" + q;', "RX-JS-INNERHTML"), ('try { stmt.executeQuery("SELECT a FROM t WHERE id=" + id); }', "RX-SQL-CONCAT"),
+    ('{ spawn("sh", ["-c", cmd]); }', "RX-SHELL-DASH-C"), ('var db_password = "hunter2x9";', "RX-HARDCODED-SECRET"), ("char *p;\np = malloc(n);\nx = 1;\np->y = 2;", "RX-C-NULL-DEREF"), ("echo $_GET['a'];", "RX-PHP-ECHO-INPUT"),
+    ('{ out.println(request.getParameter("x")); }', "RX-JSP-XSS"), ("new ObjectInputStream(in);", "RX-JAVA-OBJECTINPUTSTREAM"),
+    ("eval(x)", "PY-EVAL"), ("e = eval\ne(x)", "PY-EVAL"), ("import os as o\no.system('ls ' + d)", "PY-OS-COMMAND"), ("import subprocess\nsubprocess.run(cmd, shell=True)", "PY-SUBPROCESS-SHELL"),
+    ("import subprocess\nsubprocess.run(['/bin/sh', '-c', cmd])", "PY-SUBPROCESS-SHELL"), ("import pickle\npickle.loads(b)", "PY-PICKLE-LOAD"), ("import yaml as y\ny.load(d)", "PY-YAML-LOAD"),
+    ("cur.execute('SELECT a FROM t WHERE id=' + x)", "PY-SQL-CONCAT"), ("cur.execute(f'SELECT a FROM t WHERE id={x}')", "PY-SQL-CONCAT"), ("cur.execute('DELETE FROM t WHERE a=%s' % x)", "PY-SQL-CONCAT"),
+    ("q = 'SELECT a FROM t'\nq += ' WHERE id=' + x\ncur.execute(q)", "PY-SQL-CONCAT"), ("db.execute(text('SELECT a FROM t WHERE b={}'.format(x)))", "PY-SQL-CONCAT"),
+    ("import requests\nrequests.get(u, verify=False)", "PY-TLS-VERIFY-OFF"), ("import ssl\nctx.verify_mode = ssl.CERT_NONE", "PY-TLS-VERIFY-OFF"), ("ctx.check_hostname = False", "PY-TLS-VERIFY-OFF"),
+    ("import hashlib\ndef f(password):\n    return hashlib.new('md5', password)", "PY-WEAK-HASH"), ("import jwt\njwt.decode(t, options={'verify_signature': False})", "PY-JWT-NO-VERIFY"),
+    ("Environment(autoescape=False)", "PY-JINJA-AUTOESCAPE"), ("render_template_string(x)", "PY-TEMPLATE-INJECTION"), ("mark_safe(x)", "PY-MARK-SAFE"), ("HttpResponse('<b>' + x)", "PY-HTML-CONCAT"),
+    ("DB_PASSWORD = 'hunter2x9'", "PY-HARDCODED-SECRET"), ("connect(api_key='AKIA12345')", "PY-HARDCODED-SECRET"), ("d = {'secret_token': 'ab12cd34'}", "PY-HARDCODED-SECRET"), ("    cur.execute('SELECT a FROM t WHERE id=' + x)\n    y = 1", "PY-SQL-CONCAT"),
 ]
 SILENT = [
-    'system("ls");', "fgets(b, 8, f);", 'strcpy(b, "x");', 'char b[8];\nstrcpy(b, "x");', "char b[8];\nmemcpy(b, p, sizeof(b));", 'el.innerHTML = "<b>" + "static";', "el.innerHTML = DOMPurify.sanitize(q);",
+    'system("ls");', "fgets(b, 8, f);", 'strcpy(b, "x");', 'char b[8];\nstrcpy(b, "x");', "char b[8];\nmemcpy(b, p, sizeof(b));", 'el.innerHTML = "<b>" + "static";', "var q;\nel.innerHTML = DOMPurify.sanitize(q);",
     "yaml.load(d, Loader=yaml.SafeLoader)", "mgr.take(idx, verify=False)", "cache_key = hashlib.md5(u)", "// gets(b);", "/* eval($x) */", 'password = "changeme"', 'token_header = "X-Access-Token"',
-    "p = malloc(n);\nif (!p) return;\np->y = 2;", "int system(const char *c);\nsystem(cmd);", "", "   \n", "\x00\x01", 'execute("SELECT a FROM t WHERE id=?", x)', "echo htmlspecialchars($_GET['a']);", "def eval(x): pass",
+    "char *p;\np = malloc(n);\nif (!p) return;\np->y = 2;", "int system(const char *c);\nsystem(cmd);", "", "   \n", "\x00\x01", 'execute("SELECT a FROM t WHERE id=?", x)', "echo htmlspecialchars($_GET['a']);", "def eval(x): pass",
+    "eval('1 + 2')", "X = '1'\neval(X)", "import pickle\npickle.loads(pickle.dumps(x))", "import subprocess\nsubprocess.run(['ls', d])", "cur.execute('SELECT a FROM t WHERE id=%s', (x,))", "Q = 'SELECT a FROM t'\ncur.execute(Q)",
+    "import hashlib\ncache_key = hashlib.md5(password, usedforsecurity=False)", "mark_safe('<b>')", "HttpResponse('<b>' + escape(x))", '"""eval(x) el.innerHTML = q"""\nx = 1', "q = 'SELECT a FROM t' + x\nq = 'none'\ncur.execute(q)",
 ]
 
 
@@ -42,7 +50,7 @@ def test_masking_keeps_places():
 def test_order_and_best():
     found = scan("x = 1\neval($y); gets(b);\n" + "k" * 200 + " gets(b)")
     assert [(f["line"], f["rule_id"]) for f in found] == [(2, "RX-PHP-EVAL"), (2, "RX-C-GETS"), (3, "RX-C-GETS")] and len(found[2]["evidence"]) == 160
-    assert scan("gets(b)", 0.95) == [] and scan(None) == []
+    assert scan("gets(b);}", 0.95) == [] != scan("gets(b);}") and scan(None) == []
 
 
 def test_helpers():
@@ -60,6 +68,11 @@ def test_long_tokens_end():
 
 
 def test_table(spark):
-    df = spark.createDataFrame([(1, "gets(b)"), (2, None), (3, "ok"), (4, "eval(x)\ngets(b)")], "doc_id long, code string")
+    df = spark.createDataFrame([(1, "gets(b);}"), (2, None), (3, "ok"), (4, "{ eval(x);\ngets(b); }")], "doc_id long, code string")
     got = sorted((r.doc_id, r.line, r.rule_id) for r in scan_table(df, "doc_id", "code").collect())
     assert got == [(1, 1, "RX-C-GETS"), (4, 1, "RX-EVAL"), (4, 2, "RX-C-GETS")]
+
+
+def test_evidence_of_a_built_query():
+    found = scan("q = 'SELECT a FROM t WHERE id=' + x\ncur.execute(q)")
+    assert [(f["line"], f["confidence"], f["evidence"]) for f in found] == [(2, 0.9, "q = 'SELECT a FROM t WHERE id=' + x -> cur.execute(q)")]

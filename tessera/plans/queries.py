@@ -303,3 +303,36 @@ def predictions_folded(spark: SparkSession, sf_dir: str) -> DataFrame:
 def source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled rows of each source, most first."""
     return M.histogram(labelled(spark, sf_dir), "source")
+
+
+def _review_findings(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
+    """Findings by the REVIEW schema made of order lines, as rules or as a model would give them."""
+    k = F.col("l_linenumber")
+    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 10 == 0).dropDuplicates(["l_orderkey", "l_linenumber"])
+    cols = {
+        "review_id": F.col("l_orderkey"), "seq": k.cast("int"), "file": F.concat(F.lit("f"), F.col("l_suppkey") % 2, F.lit(".py")), "line": (F.col("l_partkey") % 20 + 1 + (k if source == "llm" else F.lit(0))).cast("int"),
+        "category": F.lit("security") if source == "rules" else F.when(k % 3 == 0, "bug").otherwise("security"), "severity": F.when(k % 2 == 0, "major").otherwise("critical"),
+        "message": F.lit("sql injection"), "suggestion": F.lit("" if source == "rules" else "bind it"), "source": F.lit(source),
+        "cwe": F.lit("CWE-89") if source == "rules" else F.lit(None).cast("string"), "rule_id": F.lit("R1") if source == "rules" else F.lit(None).cast("string"), "evidence": F.lit("x" if source == "rules" else ""),
+    }
+    return rows.select(*[c.alias(n) for n, c in cols.items()])
+
+
+@query()
+def reviews_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's findings merged into those of rules, review by review."""
+    return N.merge_review(_review_findings(spark, sf_dir, "rules"), _review_findings(spark, sf_dir, "llm"))
+
+
+@query()
+def review_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comment for each review, from its merged findings by gravity."""
+    found = R.ordered_by_severity(reviews_merged(spark, sf_dir), taxonomy.severity_rank(F.col("severity")))
+    reviews = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0).select(F.col("o_orderkey").alias("review_id"), F.lit("Summary.").alias("summary")).distinct()
+    return R.comments(reviews, found)
+
+
+@query()
+def known_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines that tell a model what rules have found."""
+    return R.known_issues(_review_findings(spark, sf_dir, "rules")).select("review_id", "seq", "issue")

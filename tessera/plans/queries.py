@@ -308,7 +308,7 @@ def source_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
 def _review_findings(spark: SparkSession, sf_dir: str, source: str) -> DataFrame:
     """Findings by the REVIEW schema made of order lines, as rules or as a model would give them."""
     k = F.col("l_linenumber")
-    rows = table(spark, sf_dir, "lineitem").where(F.col("l_orderkey") % 10 == 0).dropDuplicates(["l_orderkey", "l_linenumber"])
+    rows = table(spark, sf_dir, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min(F.struct("l_suppkey", "l_partkey")).alias("x")).select("l_orderkey", "l_linenumber", "x.*")
     cols = {
         "review_id": F.col("l_orderkey"), "seq": k.cast("int"), "file": F.concat(F.lit("f"), F.col("l_suppkey") % 2, F.lit(".py")), "line": (F.col("l_partkey") % 20 + 1 + (k if source == "llm" else F.lit(0))).cast("int"),
         "category": F.lit("security") if source == "rules" else F.when(k % 3 == 0, "bug").otherwise("security"), "severity": F.when(k % 2 == 0, "major").otherwise("critical"),
@@ -328,11 +328,11 @@ def reviews_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
 def review_comments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A comment for each review, from its merged findings by gravity."""
     found = R.ordered_by_severity(reviews_merged(spark, sf_dir), taxonomy.severity_rank(F.col("severity")))
-    reviews = table(spark, sf_dir, "orders").where(F.col("o_orderkey") % 10 == 0).select(F.col("o_orderkey").alias("review_id"), F.lit("Summary.").alias("summary")).distinct()
+    reviews = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("review_id"), F.lit("Summary.").alias("summary")).distinct()
     return R.comments(reviews, found)
 
 
-@query()
+@query("SELECT l_orderkey AS review_id, CAST(l_linenumber AS INTEGER) AS seq, 'f' || (x.s % 2) || '.py:' || (x.p % 20 + 1) || ' — CWE-89 (R1)' AS issue FROM (SELECT l_orderkey, l_linenumber, min({'s': l_suppkey, 'p': l_partkey}) AS x FROM lineitem GROUP BY ALL)")
 def known_issues(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The lines that tell a model what rules have found."""
     return R.known_issues(_review_findings(spark, sf_dir, "rules")).select("review_id", "seq", "issue")

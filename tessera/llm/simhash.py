@@ -209,7 +209,8 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
     classes = near_duplicates(docs, id_col, text)
     kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
     kept = written(kept, run_dir(spark, "simhash-kept"))
-    of = lambda rows: docs.join(rows.select("_id"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
+    # the ids have no bound on their size, so they are never broadcast, however few they are
+    of = lambda rows: docs.join(rows.select("_id").hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col("_id")), "left_semi")
     again = kept.where("_n > 1 AND _id IS NOT NULL")
     once = of(kept.where("_n = 1 OR _id IS NULL"))
     return once if again.isEmpty() else once.unionByName(of(again).dropDuplicates([id_col]))

@@ -101,20 +101,31 @@ def segment_bits(n: int) -> int:
     return max(0, (-(-n // SEGMENT) - 1).bit_length())
 
 
-def flat_ids(batch) -> tuple[np.ndarray, np.ndarray]:
+def slices(batch, n: int) -> Iterator:
+    """A batch in pieces of n rows, so that what is made of each stays small."""
+    for at in range(0, batch.num_rows, n):
+        yield batch.slice(at, n)
+
+
+def flat_ids(batch, dtype: type) -> tuple[np.ndarray, np.ndarray]:
     """The word ids of a batch's documents one after another, and where each begins."""
     raw = batch.column("ids").to_pylist()
-    n = np.fromiter((len(x) // 8 for x in raw), np.int64, len(raw))
-    return np.frombuffer(b"".join(raw), np.int64), np.cumsum(n) - n
+    n = np.fromiter((len(x) // np.dtype(dtype).itemsize for x in raw), np.int64, len(raw))
+    return np.frombuffer(b"".join(raw), dtype), np.cumsum(n) - n
 
 
-def counted(pairs: np.ndarray):
+def counted(a: np.ndarray, b: np.ndarray):
     """A batch of distinct (a, b) rows and their counts."""
     import pyarrow as pa
 
-    a, b = pairs
+    if len(a) and max(a.max(), b.max()) < 1 << 31:  # one number for a pair sorts faster
+        keys = (a.astype(np.int64) << 32) | b
+        keys.sort()
+        new = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        n, keys = np.diff(np.append(new, len(keys))), keys[new]
+        return pa.RecordBatch.from_arrays([pa.array(keys >> 32), pa.array(keys & 0xFFFFFFFF), pa.array(n)], ["a", "b", "c"])
     order = np.lexsort((b, a))
-    a, b = a[order], b[order]
+    a, b = a[order].astype(np.int64), b[order].astype(np.int64)
     new = np.flatnonzero(np.concatenate([[True], (a[1:] != a[:-1]) | (b[1:] != b[:-1])])) if len(a) else np.zeros(0, np.int64)
     return pa.RecordBatch.from_arrays([pa.array(a[new]), pa.array(b[new]), pa.array(np.diff(np.append(new, len(a))))], ["a", "b", "c"])
 
@@ -126,6 +137,11 @@ class Model:
         self.n, self.v, self.bits, self.words = n, v, bits, words
         self.two, self.two_width, self.three, self.three_width = two, two_width, three, three_width
 
+    @property
+    def dtype(self) -> type:
+        """What holds a word's id."""
+        return np.int32 if self.v < 1 << 31 else np.int64
+
     def vocabulary(self) -> Vocabulary:
         return _vocabulary(self.words, self.bits)
 
@@ -241,8 +257,9 @@ def encoded(rows: DataFrame, model: Model) -> DataFrame:
 
         words = Words(model.vocabulary())
         for b in batches:
-            made = [x.tobytes() for x in words.ids([tokens(t) for t in b.column("t").to_pylist()])]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held"), pa.array(made, pa.large_binary()).cast(pa.binary())], ["id", "held", "ids"])
+            # a slice's words at a time: all words of a batch would fill the memory
+            made = [x.astype(model.dtype).tobytes() for part in slices(b, 200) for x in words.ids([tokens(t.as_py()) for t in part.column("t")])]
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("held"), pa.array(made, pa.binary())], ["id", "held", "ids"])
 
     return rows.mapInArrow(work, f"id {rows.schema['id'].dataType.simpleString()}, held boolean, ids binary")
 
@@ -257,11 +274,11 @@ def fit(rows: DataFrame, folder: str, min_count: int = MIN_COUNT) -> tuple[Model
     def pairs(batches: Iterator) -> Iterator:
         words = model.vocabulary()
         for b in batches:
-            ids, starts = flat_ids(b)
+            ids, starts = flat_ids(b, model.dtype)
             often = words.counts(ids) >= min_count
             both = often[:-1] & often[1:]
             both[starts[1:] - 1] = False
-            yield counted((ids[:-1][both], ids[1:][both]))
+            yield counted(ids[:-1][both], ids[1:][both])
 
     def kept(counted_pairs: DataFrame, name: str) -> DataFrame:
         return written(counted_pairs.groupBy("a", "b").agg(F.sum("c").alias("c")).where(F.col("c") >= min_count), f"{folder}/{name}")
@@ -272,11 +289,15 @@ def fit(rows: DataFrame, folder: str, min_count: int = MIN_COUNT) -> tuple[Model
 
     def triples(batches: Iterator) -> Iterator:
         for b in batches:
-            ids, starts = flat_ids(b)
-            _, at, _ = model.positions(ids, starts)
-            both = (at[:-1] >= 0) & (at[1:] >= 0)
-            both[starts[1:] - 1] = False
-            yield counted((at[:-1][both], at[1:][both]))
+            made = []
+            for part in slices(b, 1000):
+                ids, starts = flat_ids(part, model.dtype)
+                _, at, _ = model.positions(ids, starts)
+                both = (at[:-1] >= 0) & (at[1:] >= 0)
+                both[starts[1:] - 1] = False
+                made.append((at[:-1][both], at[1:][both]))
+            if made:
+                yield counted(*(np.concatenate(x) for x in zip(*made, strict=True)))
 
     # a trigram is the bigram that it begins with and the bigram that it ends in
     three = kept(train.mapInArrow(triples, "a long, b long, c long"), "triples")
@@ -294,10 +315,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text: str = "text", min_count
         import pyarrow as pa
 
         words = model.vocabulary()
-        for b in batches:
-            ids, starts = flat_ids(b)
-            if not len(starts):
-                continue
+        for b in (part for whole in batches for part in slices(whole, 1000)):
+            ids, starts = flat_ids(b, model.dtype)
             counts = words.counts(ids)
             sums = lambda x: np.add.reduceat(x, starts)
             cols = [sums(np.ones(len(ids), np.int64)), sums((counts > 0).astype(np.int64)), np.full(len(starts), model.n), sums(model.unigram(counts)), sums(model.log10(ids, starts))]

@@ -203,10 +203,13 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of `docs` with the smallest id of each class, one row of an id; rows without an id stay only where no row of their class has one."""
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:
+    """The rows of `docs` with the smallest id of each class, one row of an id; rows without an id stay only where no row of their class has one.
+
+    `classes` has the id and component_id of every row; by default those of near_duplicates.
+    """
     spark = docs.sparkSession
-    classes = near_duplicates(docs, id_col, text)
+    classes = near_duplicates(docs, id_col, text) if classes is None else classes
     kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("_id")).agg(F.count("*").alias("_n"))
     kept = written(kept, run_dir(spark, "simhash-kept"))
     # the ids have no bound on their size, so they are never broadcast, however few they are

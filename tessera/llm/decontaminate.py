@@ -1,15 +1,13 @@
 """Benchmark decontamination: BM25 over test items with block-max WAND.
 
 Test items, at most about BLOCK_ITEMS at once, make an inverted index, in
-order of their length and in blocks of BLOCK neighbours. Every document is
-read, for each block, as overlapping passages twice as long as the block's
-longest item, so each run of words as long as an item lies whole in one of
-them. A passage queries the index for all items whose score reaches the least
-that verification could accept. Sums of block maxima skip passages and blocks
-that can't reach it; in what remains WAND finds the items. Those are verified
-on word shingles: MIN_OVERLAP of the whole, and MIN_PART of the question
-(first half of the words) and of the answer (second half), have to be in the
-passage.
+order of their length and in blocks of BLOCK neighbours. Every document, with
+the distinct terms of its whole text, queries the index for all items whose
+score reaches the least that verification could accept. Sums of block maxima
+skip blocks that can't reach it; in what remains WAND finds the items. Those
+are verified on word shingles: MIN_OVERLAP of the whole, and MIN_PART of the
+question (first half of the words) and of the answer (second half), have to be
+in the text, wherever they stand.
 
 The least score of an item is exact: with a share of MIN_OVERLAP of the
 shingles in place, as many words can be missing at its two ends as shingles
@@ -27,7 +25,6 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
-from itertools import repeat
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -39,7 +36,7 @@ WORDS = re.compile(r"\w+")
 SHINGLE, MIN_OVERLAP, MIN_PART = 5, 0.8, 0.5
 #: BM25's constants, items of a block, items of an index.
 K1, B, BLOCK, BLOCK_ITEMS = 1.2, 0.75, 8, 20_000
-#: Terms in more than this share of the items only ever add to a passage's bound as a whole.
+#: Terms in more than this share of the items only ever add to a text's bound as a whole.
 COMMON = 0.05
 
 
@@ -64,7 +61,8 @@ class Index:
         blocks = -(-n // BLOCK)
         maxima: list[dict[int, float]] = [{} for _ in df]
         common = {t for t, d in df.items() if d > max(1.0, COMMON * n)}
-        self.longest = np.ones(blocks, np.int64)
+        #: all terms of a block's items
+        self.terms_of: list[set[int]] = [set() for _ in range(blocks)]
         slack = np.zeros(blocks)
         for k, (_, w) in enumerate(self.items):
             norm = K1 * (1 - B + B * len(w) / mean)
@@ -78,7 +76,7 @@ class Index:
                     maxima[term][k // BLOCK] = max(maxima[term].get(k // BLOCK, 0.0), x)
             half = (len(w) + 1) // 2
             self.parts.append((shingles(w), shingles(w[:half]), shingles(w[half:]) or shingles(w)))
-            self.longest[k // BLOCK] = max(self.longest[k // BLOCK], len(w))
+            self.terms_of[k // BLOCK].update(self.term[t] for t in impact)
             slack[k // BLOCK] = max(slack[k // BLOCK], sum(x for t, x in impact.items() if t in common) / least)
         self.need = 1 - 1e-9 - slack
         #: rare terms' block maxima, term after term
@@ -101,29 +99,13 @@ class Index:
         best = max([ends[lost], *inside])
         return min(best, 0.9 * sum(impact.values()))
 
-    def passages(self, ids: np.ndarray) -> list[tuple[int, int, int]]:
-        """(block, start, end) of the passages whose bound reaches the threshold."""
-        found = []
-        n = len(ids)
-        at = np.flatnonzero(ids >= 0)
-        count = self.first[ids[at] + 1] - self.first[ids[at]]
-        own = np.repeat(at, count)
-        flat = np.repeat(self.first[ids[at]], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
-        block, most = self.block[flat], self.most[flat]
-        stride = self.longest[block]
-        window = own // stride
-        # a place lies in the passage that begins in its stride and in the one before
-        key = np.concatenate([(block << 40) | window, ((block << 40) | (window - 1))[window > 0]])
-        keys, where = np.unique(key, return_inverse=True)
-        bound = np.bincount(where, np.concatenate([most, most[window > 0]])) if len(key) else np.zeros(0)
-        b = keys >> 40
-        hit = bound >= self.need[b] if len(keys) else np.zeros(0, bool)
-        found += [(int(x), int(k) * int(self.longest[x]), min(n, (int(k) + 2) * int(self.longest[x]))) for x, k in zip(b[hit], keys[hit] & ((1 << 40) - 1), strict=True)]
-        # blocks that common terms alone could fill
-        for x in np.flatnonzero(self.need <= 0).tolist():
-            step = int(self.longest[x])
-            found += [(x, s, min(n, s + 2 * step)) for s in range(0, max(1, n - step + 1), step)]
-        return sorted(set(found))
+    def blocks(self, terms: np.ndarray) -> np.ndarray:
+        """The blocks whose bound for these distinct terms reaches the threshold."""
+        count = self.first[terms + 1] - self.first[terms]
+        flat = np.repeat(self.first[terms], count) + np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        bound = np.bincount(self.block[flat], self.most[flat], len(self.need))
+        # blocks that common terms alone could fill have no need
+        return np.flatnonzero(bound >= self.need)
 
     def retrieve(self, terms: list[int], block: int) -> list[tuple[int, float]]:
         """(item, score) of all items of a block at the threshold or above for these distinct terms, by WAND."""
@@ -173,29 +155,29 @@ class Index:
             lo, hi = (mid + 1, hi) if docs[mid] < item else (lo, mid)
         return lo
 
-    def verify(self, item: int, passage: set[tuple[str, ...]]) -> bool:
+    def verify(self, item: int, whole_text: set[tuple[str, ...]]) -> bool:
         whole, question, answer = self.parts[item]
-        share = lambda s: len(s & passage) / len(s)
+        share = lambda s: len(s & whole_text) / len(s)
         return share(whole) >= MIN_OVERLAP and share(question) >= MIN_PART and share(answer) >= MIN_PART
 
     def matches(self, text: str) -> dict[int, float]:
-        """Verified items of a text and the best score of each."""
+        """Verified items of a text and the score of each."""
         words = WORDS.findall(text.lower())
         if not words or not self.items:
             return {}
-        ids = np.fromiter(map(self.term.get, words, repeat(-1)), np.int64, len(words))
+        have = {k for k in map(self.term.get, set(words)) if k is not None}
+        hit = self.blocks(np.fromiter(have, np.int64, len(have)))
+        got = [x for block in hit.tolist() for x in self.retrieve(sorted(have & self.terms_of[block]), block)]
         out: dict[int, float] = {}
-        for block, s, e in self.passages(ids):
-            got = self.retrieve([t for t in set(ids[s:e].tolist()) if t >= 0], block)
-            if got:
-                passage = shingles(words[s:e])
-                short = {len(x) for k, _ in got for part in self.parts[k] for x in part} - {SHINGLE}
-                for n in short:
-                    passage |= {tuple(words[i : i + n]) for i in range(s, e - n + 1)}
-                for k, x in got:
-                    if self.verify(k, passage):
-                        item = self.items[k][0]
-                        out[item] = max(out.get(item, 0.0), float(x))
+        if got:
+            held = shingles(words)
+            short = {len(x) for k, _ in got for part in self.parts[k] for x in part} - {SHINGLE}
+            for n in short:
+                held |= {tuple(words[i : i + n]) for i in range(len(words) - n + 1)}
+            for k, x in got:
+                if self.verify(k, held):
+                    item = self.items[k][0]
+                    out[item] = max(out.get(item, 0.0), float(x))
         return out
 
 

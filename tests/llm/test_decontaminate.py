@@ -74,3 +74,12 @@ def test_documents_against_brute_force(spark, make_docs, monkeypatch):
 def test_odd(spark, odd_docs):
     items = spark.createDataFrame([(1, "word5 thing5 word6 thing6 word7 thing7 word8 thing8")], "item_id long, text string")
     assert sorted((r.doc_id or 0, r.n_items) for r in d.decontaminate(odd_docs, items).collect()) == [(0, 0), (1, 0), (2, 0), (3, 0), (3, 0), (4, 1), (5, 0), (6, 0), (7, 1)]
+
+
+def test_insertions_at_all_offsets():
+    item = [f"t{i}" for i in range(40)]
+    index = d.Index([(7, " ".join(item)), *((100 + i, " ".join(f"z{i}a{k}" for k in range(40))) for i in range(20))])
+    for inserted in (1, 24, 500):
+        for before in range(0, 85):
+            words = [f"b{i}" for i in range(before)] + item[:20] + [f"i{k}" for k in range(inserted)] + item[20:]
+            assert set(index.matches(" ".join(words))) == {7} == brute_matches(" ".join(words), [(7, " ".join(item))])

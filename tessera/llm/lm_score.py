@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from tessera.llm._common import run_dir, text_of, written
 from tessera.llm.eftrie import Level, Vocabulary
 
-MIN_COUNT, DISCOUNT = 8, 0.75
+MIN_COUNT, DISCOUNT = 1, 0.75
 #: Entries of a segment aimed at, words a worker remembers, words counted before a task passes its counts on.
 SEGMENT, MAX_MEMO, MAX_HELD = 4_000_000, 600_000, 400_000
 #: No word: the end of a text. Words have no line feeds.

@@ -64,3 +64,10 @@ def test_scores(make_docs, monkeypatch):
 
 def test_odd(odd_docs, make_docs):
     assert lm_score.score(odd_docs).count() == 9 and lm_score.score(make_docs([])).count() == 0
+
+
+def test_default_keeps_every_ngram(make_docs):
+    docs = [(i, f"once{i} seen words{i} follow each{i} other") for i in range(40)] + [(100 + i, f"once{i} seen words{i} follow") for i in range(40)]
+    got = sorted((tuple(r) for r in lm_score.score(make_docs(docs)).collect()), key=repr)
+    for g, w in zip(got, sorted(brute(docs, 1), key=repr), strict=True):
+        assert g[:5] == w[:5] and abs(g[6] - w[6]) < 1e-3 * w[2]

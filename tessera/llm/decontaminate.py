@@ -67,7 +67,8 @@ class Index:
         for k, (_, w) in enumerate(self.items):
             norm = K1 * (1 - B + B * len(w) / mean)
             impact = {t: idf[t] * f * (K1 + 1) / (f + norm) for t, f in Counter(w).items()}
-            least = sum(impact.values()) - self.heaviest_loss(w, impact)
+            # a shingle that is there has at least one term, however much may be missing
+            least = max(sum(impact.values()) - self.heaviest_loss(w, impact), min(impact.values()))
             for t, x in impact.items():
                 term, x = self.term[t], x / least
                 self.docs[term].append(k)
@@ -96,8 +97,7 @@ class Index:
         # k words inside cost SHINGLE - 1 shingles more than k; they may be the heaviest, and the rest be lost at the ends
         heavy = np.concatenate([[0.0], np.cumsum(sorted(impact.values(), reverse=True))])
         inside = [heavy[min(k, len(heavy) - 1)] + ends[lost - SHINGLE + 1 - k] for k in range(1, lost - SHINGLE + 2)]
-        best = max([ends[lost], *inside])
-        return min(best, 0.9 * sum(impact.values()))
+        return max([ends[lost], *inside])
 
     def blocks(self, terms: np.ndarray) -> np.ndarray:
         """The blocks whose bound for these distinct terms reaches the threshold."""

@@ -83,3 +83,9 @@ def test_insertions_at_all_offsets():
         for before in range(0, 85):
             words = [f"b{i}" for i in range(before)] + item[:20] + [f"i{k}" for k in range(inserted)] + item[20:]
             assert set(index.matches(" ".join(words))) == {7} == brute_matches(" ".join(words), [(7, " ".join(item))])
+
+
+def test_items_of_a_shared_template():
+    items = [(i, " ".join(f"s{k}" for k in range(100)) + f" rare{i}") for i in range(300)]
+    text = items[0][1].rsplit(" ", 1)[0]
+    assert set(d.Index(items).matches(text)) == brute_matches(text, items) == set(range(300))

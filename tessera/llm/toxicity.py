@@ -268,13 +268,13 @@ def held_out(id_col: str, folds: int = 5):
 
 
 def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5) -> Scorer:
-    """Fits on labelled rows whose id isn't held out: MAX_TOXIC and MAX_CLEAN of them at most, by the hash of their id."""
+    """Fits on labelled rows whose id isn't held out: MAX_TOXIC and MAX_CLEAN of them at most, by the hash of their id, with one text each."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) > 0).cast("int").alias("y")).where(~held_out("_id", folds))
-    n = MAX_TOXIC + MAX_CLEAN
     chosen = known.where("y = 1").orderBy(F.xxhash64("_id"), "_id").limit(MAX_TOXIC).union(known.where("y = 0").orderBy(F.xxhash64("_id"), "_id").limit(MAX_CLEAN))
     texts = docs.select(F.col(id_col).alias("_id"), text_of(text).alias("t")).where(F.length("t") <= MAX_CHARS)
-    # two numbers for each of MAX_TOXIC + MAX_CLEAN rows
-    rows = texts.join(F.broadcast(chosen), "_id").select("_id", "t", "y").limit(2 * n).collect()
+    # one text for each of MAX_TOXIC + MAX_CLEAN ids, the first by hash, however many rows an id has
+    first = F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")
+    rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(first).select("_id", "t", "y").collect()
     return learn([(r[1], r[2]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))])
 
 

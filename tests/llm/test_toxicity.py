@@ -59,3 +59,14 @@ def test_tables(spark, odd_docs, make_docs):
     none = toxicity.train(docs, labels.limit(0))
     assert all(r.score < 0.6 for r in toxicity.score(docs, none).collect())
     assert toxicity.score(make_docs([]), none).count() == 0
+
+
+def test_repeated_rows_push_out_no_others(spark, make_docs, monkeypatch):
+    monkeypatch.setattr(toxicity, "MAX_TOXIC", 20)
+    monkeypatch.setattr(toxicity, "MAX_CLEAN", 20)
+    monkeypatch.setattr(toxicity, "learn", lambda rows: rows)
+    ids = range(1, 31)
+    docs = make_docs([(i, f"text {i}") for i in ids for _ in range(50)])
+    labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
+    want = [i for (i,) in labels.where(~toxicity.held_out("doc_id")).select("doc_id").collect()]
+    assert sorted(toxicity.train(docs, labels)) == sorted((f"text {i}", i % 2) for i in want)

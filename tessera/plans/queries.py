@@ -227,12 +227,12 @@ def security_feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return security_features(table(spark, sf_dir, "documents"), "doc_id", "text")
 
 
-def _diffs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each document as a diff of one file: odd lines are added, even ones are context."""
+def _diffs(spark: SparkSession, sf_dir: str, odd: str = ".txt") -> DataFrame:
+    """Each document as a diff of one file: odd lines are added, even ones are context; `odd` is the suffix of odd ids."""
     lines = F.split("text", "\n", -1)
     n = F.size(lines)
     body = F.array_join(F.transform(lines, lambda x, i: F.concat(F.when(i % 2 == 0, "+").otherwise(" "), x)), "\n")
-    path = F.concat(F.lit("src/f"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(".txt"))
+    path = F.concat(F.lit("src/f"), F.col("doc_id"), F.when(F.col("doc_id") % 2 == 0, ".py").otherwise(odd))
     head = F.concat(F.lit("diff --git a/x b/x\n--- a/"), path, F.lit("\n+++ b/"), path, F.lit("\n@@ -1,"), (n / 2).cast("int"), F.lit(" +1,"), n, F.lit(" @@\n"))
     return table(spark, sf_dir, "documents").select(F.col("doc_id").alias("diff_id"), F.concat(head, body).alias("diff"))
 
@@ -285,7 +285,7 @@ def rule_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def diff_findings(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Findings on the lines that the diffs add, with severities, in order of gravity."""
-    lines = N.parse_diffs(_diffs(spark, sf_dir))
+    lines = N.parse_diffs(_diffs(spark, sf_dir, ".js"))
     found = X.scan_table(N.new_sides(lines).withColumn("key", F.struct("diff_id", "path")), "key", "text")
     placed = found.select(F.col("key.diff_id").alias("diff_id"), F.col("key.path").alias("path"), "line", "cwe", "rule_id", "confidence", "evidence")
     return N.on_added_lines(placed, lines).withColumn("severity", taxonomy.severity(F.col("cwe")))

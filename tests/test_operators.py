@@ -164,6 +164,13 @@ def test_comment(spark):
     assert got[1].split("\n") == ["## 🤖 AI PR Review", "", "sum", "", "**2 finding(s):**", "", "### 🔵 INFO · bug — `a.py`", "msg", "", "### 🟠 MAJOR · security — `a.py`:10  ·  🔎 static analysis · `R`", "sql injection", "```", "e", "```", "> **Suggestion:** fix", "", R.CAVEAT, "", "---", R.FOOT]
 
 
+def test_diff_findings_read_every_document(spark, tmp_path):
+    from tessera.plans.queries import diff_findings
+
+    spark.createDataFrame([(i, "eval(user_input)\n") for i in range(1, 7)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    assert {r.diff_id for r in diff_findings(spark, str(tmp_path)).collect()} == set(range(1, 7))
+
+
 def test_webhook_stream(spark, tmp_path):
     import hashlib
     import hmac

@@ -30,10 +30,10 @@ def run_dir(spark: SparkSession, name: str) -> str:
     return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, path: str) -> DataFrame:
+def written(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     """Write `df` as Parquet and read it again: the lineage is cut, and lost executors cost no rework."""
     spark = df.sparkSession
-    df.write.mode("overwrite").parquet(path)
+    df.write.mode("overwrite").option("compression", codec).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
@@ -49,3 +49,17 @@ def filesystem(uri: str):
     if "://" not in uri:
         uri = f"file://{uri.removeprefix('file:')}"
     return fs.FileSystem.from_uri(uri)
+
+
+def by_bytes(batch, column: str, most: int = 16 << 20):
+    """An Arrow batch in slices of at most so many bytes in a string or binary column, or of one row."""
+    import numpy as np
+    import pyarrow.compute as pc
+
+    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    at = 0
+    while at < batch.num_rows:
+        before = ends[at - 1] if at else 0
+        to = max(at + 1, int(np.searchsorted(ends, before + most, side="right")))
+        yield batch.slice(at, to - at)
+        at = to

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from array import array
 from collections.abc import Iterator
 from itertools import chain
 
@@ -124,34 +125,68 @@ class ByteUnits(Units):
 
 
 class WordUnits(Units):
-    """Little-endian 16-bit ids, for BPE that lower-cases and drops white space."""
+    """Little-endian 16-bit ids, for BPE that lower-cases and drops white space; a batch's texts are split and put together as Arrow columns."""
 
     def __init__(self, path: str):
         super().__init__(path)
         if self.tokenizer.get_vocab_size() > 1 << 16:
             raise ValueError("ids of this tokenizer don't fit 16 bits")
 
-    lead = ""
-
     def lettered(self, key: str) -> bool:
-        return key.isalpha() and key == key.lower() and unicodedata.is_normalized("NFC", key)
-
-    def shown(self, key: str) -> str:
-        return key[1:] if key[:1] == "\2" else key
+        return key.isalpha() and (key.isascii() or key == key.lower() and unicodedata.is_normalized("NFC", key))
 
     def value(self, ids: list[int]) -> bytes:
-        return np.array(ids, dtype="<u2").tobytes()
-
-    def joined(self, parts: list[bytes]) -> bytes:
-        return b"".join(parts)
+        return array("H", ids).tobytes()
 
+    def look_up(self, keys: list[str]) -> list[bytes]:
+        """The ids of distinct lower-case words."""
+        out = list(map(self.get, keys))
+        missing = [i for i, x in enumerate(out) if x is None]
+        if len(self) + len(missing) > MAX_UNITS:
+            self.clear()
+            out, missing = [None] * len(keys), list(range(len(keys)))
+        merge, lettered, whole = self.model.tokenize, self.lettered, []
+        for i in missing:
+            key = keys[i]
+            core = key.rstrip(TAIL)
+            if not lettered(core):
+                whole.append(i)
+                continue
+            ids = self.get(core)
+            if ids is None:
+                # a word of letters is one piece to the library's splitter, so its model can be asked at once
+                ids = self[core] = array("H", [t.id for t in merge(core if core.isascii() else core.encode().decode("latin-1").translate(SHOWN))]).tobytes()
+            if len(core) < len(key):
+                tail = key[len(core) :]
+                end = self.get(tail)
+                if end is None:
+                    end = self[tail] = self.value(self.encoded([tail])[0])
+                ids += end
+            out[i] = self[key] = ids
+        for i, ids in zip(whole, self.encoded([keys[i] for i in whole]), strict=True):
+            out[i] = self[keys[i]] = self.value(ids)
+        return out
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
-        """The ids of each text."""
-        for at in range(0, len(texts), SLICE):
-            # Python's lower() and the library's differ only where a letter depends on its neighbours or grows
-            low = [t if "Σ" in t or "İ" in t else t.lower() for t in texts[at : at + SLICE]]
-            split = [t.replace("\n", " ").split(" ") if "\2" not in t else [] for t in low]
-            self.fill(split)
-            for t, x in zip(texts[at : at + SLICE], split, strict=True):
-                yield b"".join(map(self.__getitem__, x)) if x else self.value(self.encoded([t])[0])
+    def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of an Arrow array's texts one after another, and how many each text has."""
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        # the library lower-cases each letter by itself, and this one grows
+        low = pc.utf8_lower(pc.replace_substring(texts, "İ", "i̇") if pc.any(pc.match_substring(texts, "İ")).as_py() else texts)
+        # special tokens are told by their case before that: a text with the like of one is encoded whole
+        special = [pc.match_substring(low, t.content.lower()) for t in self.tokenizer.get_added_tokens_decoder().values()]
+        odd = np.flatnonzero(np.any([m.to_numpy(zero_copy_only=False) for m in special], axis=0)) if special else []
+        split = pc.ascii_split_whitespace(low)
+        words = split.flatten().dictionary_encode()
+        made = pa.array(self.look_up(words.dictionary.to_numpy(zero_copy_only=False).tolist()), pa.binary()).take(words.indices)
+        size = np.frombuffer(made.buffers()[1], np.int32)[made.offset : made.offset + len(made) + 1]
+        ends = size[split.offsets.to_numpy() - split.offsets[0].as_py()] // 2
+        data = made.buffers()[2]
+        flat, n = np.frombuffer(data, "<u2", int(ends[-1])) if data is not None else np.zeros(0, "<u2"), np.diff(ends.astype(np.int64))
+        if len(odd):
+            each = np.split(flat, ends[1:-1])
+            for i, ids in zip(odd, self.encoded(texts.take(pa.array(odd)).to_pylist()), strict=True):
+                each[i] = np.array(ids, "<u2")
+            flat, n = np.concatenate(each), np.fromiter(map(len, each), np.int64, len(each))
+        return flat, n

@@ -21,7 +21,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import run_dir, text_of, written
+from tessera.llm._common import by_bytes, run_dir, text_of, written
 from tessera.llm._order import positioned
 from tessera.llm._tokens import WordUnits
 
@@ -72,19 +72,24 @@ def tokenised(docs: DataFrame, tokenizer_path: str, id_col: str = "doc_id", text
         import pyarrow as pa
         from pyspark import TaskContext
 
-        units, vectors = WordUnits.of(tokenizer_path), projection()
-        end = np.array([END_ID], "<u2").tobytes()
+        units, vectors = WordUnits.of(tokenizer_path), list(np.ascontiguousarray(projection().T))
         uid = TaskContext.get().partitionId() << 40
         for b in batches:
-            texts = b.column("t").to_pylist()
-            made = [x + end for x in units.ids(texts)]
-            n = np.array([len(x) // 2 for x in made], np.int64)
-            flat = np.frombuffer(b"".join(made), "<u2")
-            at = np.concatenate([[0], np.cumsum(n)[:-1]]) if len(n) else n
-            points = [np.add.reduceat(np.ascontiguousarray(vectors[:, d])[flat], at) / n if len(n) else np.zeros(0) for d in range(DIMS)]
-            uids = np.arange(uid, uid + len(texts))
-            uid += len(texts)
-            yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), b.column("id"), pa.array(made, pa.binary()), pa.array(n, pa.int64()), *[pa.array(p.astype(np.float64)) for p in points]], ["uid", "id", "ids", "_w", *[f"p{d}" for d in range(DIMS)]])
+            for part in by_bytes(b, "t"):
+                ids, n = units.ids(part.column("t"))
+                n = n + 1  # its end
+                ends = np.cumsum(n)
+                at = ends - n
+                flat = np.full(int(n.sum()), END_ID, "<u2")
+                inside = np.ones(len(flat), bool)
+                inside[ends - 1] = False
+                flat[inside] = ids
+                points = [np.add.reduceat(v[flat], at, dtype=np.float64) / n for v in vectors]
+                uids = np.arange(uid, uid + len(n))
+                uid += len(n)
+                offsets = np.concatenate([[0], ends * 2]).astype(np.int32)
+                made = pa.Array.from_buffers(pa.binary(), len(n), [None, pa.py_buffer(offsets), pa.py_buffer(flat)])
+                yield pa.RecordBatch.from_arrays([pa.array(uids, pa.int64()), part.column("id"), made, pa.array(n, pa.int64()), *map(pa.array, points)], ["uid", "id", "ids", "_w", *[f"p{d}" for d in range(DIMS)]])
 
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), text_of(text).alias("t")).mapInArrow(encode, f"uid long, id {kind}, ids binary, _w long, {', '.join(f'p{d} double' for d in range(DIMS))}")

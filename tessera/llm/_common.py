@@ -15,11 +15,13 @@ _own_dir: str | None = None
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder all executors share: `spark.checkpoint.dir`; a temporary one only where that is unset."""
+    """The folder all executors share: `spark.checkpoint.dir`; a temporary one where that is unset and the master is local."""
     global _own_dir
     root = spark.conf.get("spark.checkpoint.dir", None)
     if root:
         return root.rstrip("/")
+    if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     if _own_dir is None:
         _own_dir = tempfile.mkdtemp(prefix="tessera-shared-")
     return f"file://{_own_dir}"
@@ -37,6 +39,14 @@ def written(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def fresh(df: DataFrame, stem: str) -> str:
+    """A column name that `df` hasn't, in any case."""
+    used = {c.lower() for c in df.columns}
+    while stem.lower() in used:
+        stem = f"_{stem}"
+    return stem
+
+
 def text_of(col: str = "text"):
     """The text with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

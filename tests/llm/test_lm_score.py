@@ -7,28 +7,59 @@ import numpy as np
 from tessera.llm import eftrie, lm_score
 
 
-def test_elias_fano():
+def test_elias_fano(monkeypatch):
     rng = np.random.default_rng(2)
-    for n, u in ((0, 10), (1, 1), (5, 5), (1000, 1 << 20), (3000, 3001), (500, 1 << 64)):
+    for n, u in ((0, 10), (1, 1), (5, 5), (1000, 1 << 20), (3000, 3001), (500, 1 << 64), (5000, 64), (4000, 1 << 12)):
         top = min(u, (1 << 63) - 1)
-        v = np.sort(rng.integers(0, top, n, dtype=np.uint64)) if u > n else np.arange(n, dtype=np.uint64)
+        v = np.sort(rng.integers(0, top, n, dtype=np.uint64)) if u != 3001 else np.arange(n, dtype=np.uint64)
         ef = eftrie.EliasFano(**eftrie.encode(v, u))
-        assert (ef.values() == v).all()
-        asked = np.concatenate([v, rng.integers(0, top, 200, dtype=np.uint64)])
-        at = ef.find(asked)
-        assert all((a < 0 and x not in v) or v[a] == x for a, x in zip(at.tolist(), asked, strict=True))
+        assert (ef.at(np.arange(n)) == v).all()
+        asked = np.concatenate([v, rng.integers(0, top, 200, dtype=np.uint64), np.array([0, top - 1], np.uint64)])
+        count, equal = ef.search(asked)
+        assert (count == np.searchsorted(v, asked, side="right")).all() and (equal == np.isin(asked, v)).all()
 
 
-def test_level(tmp_path):
+def test_elias_fano_of_one_crowded_place():
+    v = np.concatenate([np.arange(70_000), [10**12], 10**12 + np.arange(3000)]).astype(np.uint64)
+    v.sort()
+    ef = eftrie.EliasFano(**eftrie.encode(v, 1 << 41))
+    asked = np.concatenate([v, v + np.uint64(1), np.array([1 << 41], np.uint64)])
+    count, equal = ef.search(asked)
+    assert (count == np.searchsorted(v, asked, side="right")).all() and (equal == np.isin(asked, v)).all()
+    assert (ef.at(np.arange(len(v))) == v).all()
+
+
+def test_level(tmp_path, monkeypatch):
+    monkeypatch.setattr(eftrie, "CHUNK", 5)
     c, f = np.array([0, 0, 3, 3, 3, 9]), np.array([2, 5, 0, 1, 7, 4])
-    path = eftrie.Level.build(f"file://{tmp_path}", 10, 0, c, f, np.full(6, -1.5), np.array([-0.5, -0.25, -1.0]), np.arange(6))
-    level = eftrie.Level([(0, path, 6)], 10)
-    for a in range(-1, 10):
-        for b in range(-1, 9):
-            want = next((i for i in range(6) if (c[i], f[i]) == (a, b)), -1)
-            assert level.find(np.array([a]), np.array([b]))[0] == want
-    assert level.begin_of(np.arange(6)).tolist() == [0, 0, 2, 2, 2, 5] and level.counts(np.array([4])).tolist() == [4]
-    assert np.allclose(level.back(np.array([0, 1, 3, 9])), [-0.5, 0, -0.25, -1], atol=1e-3)
+    path = eftrie.Level.build(f"file://{tmp_path}", 10, 0, c, f, np.full(6, -1.5), np.array([-0.5, -0.25, -1.0]))
+    other = eftrie.Level.build(f"file://{tmp_path}", 10, 2, np.array([21, 21]), np.array([0, 3]), np.full(2, -2.5), np.array([-0.75]))
+    level = eftrie.Level(((0, path, 6), (2, other, 2)), 10)
+    c, f = np.append(c, [21, 21]), np.append(f, [0, 3])
+    pairs = [(a, b) for b in range(-1, 9) for a in range(-1, 32)]
+    got = level.find(np.array([a for a, _ in pairs]), np.array([b for _, b in pairs]))
+    assert got.tolist() == [next((i for i in range(8) if (c[i], f[i]) == p), -1) for p in pairs]
+    assert level.begin(c).tolist() == [0, 0, 2, 2, 2, 5, 6, 6]
+    assert np.allclose(level.back(np.array([0, 1, 3, 9, -1, 15, 21])), [-0.5, 0, -0.25, -1, 0, 0, -0.75], atol=1e-3)
+    assert np.allclose(level.prob(np.array([7, -1, 0])), [-2.5, 0, -1.5], atol=1e-3)
+
+
+def test_packed_columns():
+    rng = np.random.default_rng(3)
+    for n in (0, 1, 1000):
+        a, b = np.sort(rng.integers(0, 1 << 63, n, dtype=np.uint64) * 2), rng.integers(0, 1 << 40, n)
+        x, y = lm_score.unpacked(lm_score.packed([a, b]), 2)
+        assert (x.view(np.uint64) == a).all() and (y == b).all()
+
+
+def test_split_is_that_of_bytes():
+    import pyarrow as pa
+
+    texts = ["", " ", "a B\tc", "\x0bx\x0c y\r\n", "Ünï ÇA\x1cz\x85w\xa0v", "a  a", " a", "a "]
+    hashes, places, upto = lm_score.split(pa.array(["no", *texts]).slice(1))
+    want = [[*t.encode().lower().split(), b"\n"] for t in texts]
+    assert np.diff(np.concatenate([[0], upto])).tolist() == list(map(len, want))
+    assert (hashes[places] == lm_score.word_hashes([w for x in want for w in x])).all()
 
 
 def brute(docs, k, d=0.75):
@@ -55,8 +86,10 @@ def brute(docs, k, d=0.75):
 def test_scores(make_docs, monkeypatch):
     rng = np.random.default_rng(4)
     docs = [(i, " ".join(f"W{x}" for x in rng.zipf(1.6, rng.integers(0, 60)) if x < 90)) for i in range(150)] + [(None, "w1 w2"), (7, None), (7, None), (8, "unseen w1 w1\x0bw2")]
-    for segment in (4_000_000, 40):
+    for segment, held in ((4_000_000, 4_000_000), (40, 50)):
         monkeypatch.setattr(lm_score, "SEGMENT", segment)
+        monkeypatch.setattr(lm_score, "MAX_HELD", held)
+        monkeypatch.setattr(lm_score, "WORD_BYTES", 1000 if held == 50 else 1 << 26)
         got = sorted((tuple(r) for r in lm_score.score(make_docs(docs), min_count=3).collect()), key=repr)
         for g, w in zip(got, sorted(brute(docs, 3), key=repr), strict=True):
             assert g[:5] == w[:5] and math.isclose(g[5], w[5], rel_tol=1e-9) and abs(g[6] - w[6]) < 1e-3 * w[2]

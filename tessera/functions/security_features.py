@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import security_patterns as P
+from tessera.functions.guards import folded, may_match
 from tessera.functions.text import count_matches, found_from, match_spans, unicode
 
 #: Characters read, windows before and after a statement, and after a loader call.
@@ -48,11 +51,20 @@ def comment_chars(t: Column) -> Column:
     return F.aggregate(F.regexp_extract_all(t, F.lit(f"({unicode(P.COMMENT)})"), F.lit(1)), F.lit(0), lambda a, m: a + F.length(m))
 
 
-def features(code: Column) -> dict[str, Column]:
-    """Column name -> expression, in the features' fixed order. A null is the empty text; only the first MAX_CHARS characters count."""
-    t = F.substring(F.coalesce(code, F.lit("")), 1, MAX_CHARS)
+def cut(code: Column) -> Column:
+    """What counts of a code: a null is the empty text, and only the first MAX_CHARS characters are read."""
+    return F.substring(F.coalesce(code, F.lit("")), 1, MAX_CHARS)
+
+
+def features(t: Column, low: Column | None = None) -> dict[str, Column]:
+    """Column name -> expression, in the features' fixed order, of a text that is cut already; `low` is the folded text, where that is at hand.
+
+    Each count is made only where the text has literals that its pattern needs.
+    """
+    low = folded(t) if low is None else low
     n = F.greatest(F.length(t), F.lit(1))
-    hits = lambda *patterns: density(sum((count_matches(t, unicode(p)) for p in patterns[1:]), count_matches(t, unicode(patterns[0]))), n)
+    where = lambda count, *patterns: F.when(reduce(lambda a, b: a & b, [may_match(t, low, p) for p in patterns]), count).otherwise(0)
+    hits = lambda *patterns: density(reduce(lambda a, b: a + b, [where(count_matches(t, unicode(p)), p) for p in patterns]), n)
     return {
         "mem_unsafe_str_fn": hits(P.UNSAFE_STRING_CALL),
         "mem_safe_str_fn": hits(P.SAFE_STRING_CALL),
@@ -73,15 +85,15 @@ def features(code: Column) -> dict[str, Column]:
         "inj_os_command": hits(P.OS_COMMAND),
         "inj_shell_true": hits(P.SHELL_TRUE),
         "sql_keyword": hits(P.SQL_STATEMENT),
-        "sql_dynamic": density(dynamic_sql(t), n),
+        "sql_dynamic": density(where(dynamic_sql(t), P.SQL_STATEMENT), n),
         "sql_parameterized": hits(P.SQL_PARAMETERS),
-        "deser_unsafe": density(count_matches(t, unicode(P.UNSAFE_DESERIALISATION)) + unsafe_yaml(t), n),
+        "deser_unsafe": density(where(count_matches(t, unicode(P.UNSAFE_DESERIALISATION)), P.UNSAFE_DESERIALISATION) + where(unsafe_yaml(t), P.YAML_LOAD), n),
         "deser_safe": hits(P.SAFE_DESERIALISATION),
         "xss_sink": hits(P.XSS_SINK),
         "xss_escape": hits(P.XSS_ESCAPE),
         "taint_source": hits(P.TAINT_SOURCE),
         "path_dotdot": hits(P.PARENT_PATH),
-        "val_bounds_check": density(bounds_checks(t), n),
+        "val_bounds_check": density(where(bounds_checks(t), P.CONDITION, P.COMPARISON, P.SIZE_TOKEN), n),
         "val_try_catch": hits(P.TRY_CATCH),
         "val_regex": hits(P.REGEX_VALIDATION),
         "val_unchecked_parse": hits(P.UNCHECKED_PARSE),
@@ -89,12 +101,12 @@ def features(code: Column) -> dict[str, Column]:
         "crypto_strong": hits(P.STRONG_CRYPTO),
         "crypto_tls_off": hits(P.TLS_OFF),
         "secret_hardcoded": hits(P.HARDCODED_SECRET),
-        "secret_high_entropy": density(high_entropy_literals(t), n),
+        "secret_high_entropy": density(where(high_entropy_literals(t), P.STRING_LITERAL), n),
         "rand_weak": hits(P.WEAK_RANDOM),
         "info_leak_output": hits(P.INFORMATION_LEAK),
         "gen_log_len": F.log1p(n) / 10.0,
         "gen_log_lines": F.log1p(F.length(t) - F.length(F.replace(t, F.lit("\n"), F.lit(""))) + 1) / 10.0,
-        "gen_comment_ratio": F.least(comment_chars(t) / n, F.lit(1.0)),
+        "gen_comment_ratio": F.least(where(comment_chars(t), P.COMMENT) / n, F.lit(1.0)),
         "gen_dyn_string": hits(P.DYNAMIC_STRING),
         "syntax_c": hits(P.SYNTAX_C),
         "syntax_script": hits(P.SYNTAX_SCRIPT),
@@ -104,4 +116,6 @@ def features(code: Column) -> dict[str, Column]:
 
 def security_features(df: DataFrame, id_col: str, code: str) -> DataFrame:
     """id and the 45 features of every row."""
-    return df.select(id_col, *[c.alias(name) for name, c in features(F.col(code)).items()])
+    # the cut and the folded text are made once, and read by all columns
+    rows = df.select(F.col(id_col), cut(F.col(code)).alias("t")).select(id_col, "t", folded(F.col("t")).alias("low"))
+    return rows.select(id_col, *[c.alias(name) for name, c in features(F.col("t"), F.col("low")).items()])

@@ -28,6 +28,16 @@ C_FAMILY = ("c", "c++", "cpp")
 SEVERITIES = ("critical", "major", "minor", "info")
 SEVERITY_OF = {"CWE-89": "critical", "CWE-94": "critical", "CWE-502": "critical", "CWE-79": "major", "MEMORY-OOB": "major", "CWE-476": "minor", "CWE-200": "minor", "CWE-20": "minor"}
 DEFAULT_SEVERITY = "major"
+# Advice for each class; others have none.
+REMEDIES = {
+    "CWE-89": "Use a parameterised query: pass the value as a bind parameter instead of concatenating or formatting it into the SQL string.",
+    "CWE-79": "Escape the value where it is rendered, and do not mark untrusted strings as safe (mark_safe / |safe / innerHTML).",
+    "CWE-94": "Do not evaluate untrusted input. Use ast.literal_eval, an explicit dispatch table, or an argument list with shell=False.",
+    "CWE-502": "Deserialise untrusted data with a safe loader (yaml.safe_load, json.loads); never unpickle bytes an attacker can influence.",
+    "CWE-200": "Do not disable certificate/transport verification, and read secrets from the environment instead of committing them.",
+    "CWE-476": "Check the pointer against NULL before dereferencing it.",
+    "MEMORY-OOB": "Bound the write to the destination's declared size (snprintf / strncpy with an explicit length) and validate every index against it.",
+}
 
 # Source files worth scanning; folders and names that aren't.
 SCANNABLE = (".py", ".pyi", ".js", ".jsx", ".mjs", ".cjs", ".ts", ".tsx", ".java", ".kt", ".scala", ".php", ".rb", ".go", ".cs", ".swift", ".pl", ".c", ".h", ".cc", ".cpp", ".cxx", ".hpp", ".hh")
@@ -71,6 +81,17 @@ def severity(cwe: Column) -> Column:
     return F.coalesce(F.try_element_at(mapping(SEVERITY_OF), cwe), F.lit(DEFAULT_SEVERITY))
 
 
+def remedy(cwe: Column) -> Column:
+    return F.coalesce(F.try_element_at(mapping(REMEDIES), cwe), F.lit(""))
+
+
+def describe(label: Column) -> Column:
+    """(cwe, name, owasp, description) of a label, older ids by the class they merged into; null for what is no class."""
+    folded = F.coalesce(F.try_element_at(mapping(MERGED), label), label)
+    part = lambda i: F.try_element_at(mapping({k: v[i] for k, v in CLASSES.items()}), folded)
+    return F.when(folded.isin(*CLASSES), F.struct(folded.alias("cwe"), part(0).alias("name"), part(1).alias("owasp"), part(2).alias("description")))
+
+
 def severity_rank(s: Column) -> Column:
     """0 for the gravest; 9 for what isn't a severity."""
     return F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for x in chain(*((v, i) for i, v in enumerate(SEVERITIES)))]), s), F.lit(9))

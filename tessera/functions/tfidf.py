@@ -16,9 +16,12 @@ TOKEN = r"[A-Za-z_][A-Za-z0-9_]*"
 
 def word_grams(text: Column) -> Column:
     """Words and pairs of neighbours, lower-cased."""
-    words = F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))
-    pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
-    return F.concat(words, pairs)
+    def of(words: Column) -> Column:
+        pairs = F.transform(F.slice(words, F.lit(2), F.greatest(F.size(words) - 1, F.lit(0))), lambda w, i: F.concat(F.get(words, i), F.lit(" "), w))
+        return F.concat(words, pairs)
+
+    # bound as a variable, so that the words are found once
+    return F.get(F.transform(F.array(F.regexp_extract_all(F.lower(text), F.lit(f"({TOKEN})"), F.lit(1))), of), F.lit(0))
 
 
 def char_grams(text: Column, shortest: int = 3, longest: int = 5) -> Column:
@@ -37,13 +40,25 @@ def char_grams(text: Column, shortest: int = 3, longest: int = 5) -> Column:
     return F.concat(*parts)
 
 
-def tfidf(docs: DataFrame, id_col: str, grams: Column, min_df: int = 3, max_terms: int = 20_000) -> DataFrame:
-    """(id, term, weight) of every document."""
-    counts = docs.select(F.col(id_col), F.explode(grams).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+def counted(docs: DataFrame, id_col: str, grams: Column) -> DataFrame:
+    """(id, term, tf) of every document."""
+    return docs.select(F.col(id_col), F.explode(grams).alias("term")).groupBy(id_col, "term").agg(F.count("*").alias("tf"))
+
+
+def fit_terms(counts: DataFrame, n: DataFrame, min_df: int = 3, max_terms: int = 20_000) -> DataFrame:
+    """(term, idf) of at most `max_terms` terms, from (id, term, tf) and a row with the number of documents, n."""
     terms = counts.groupBy("term").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= min_df).orderBy(F.desc("total"), "term").limit(max_terms)
-    n = docs.agg(F.count("*").alias("n"))
-    # max_terms rows
-    idf = terms.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
-    raw = counts.join(F.broadcast(idf), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
+    return terms.join(F.broadcast(n)).select("term", (F.log((1 + F.col("n")) / (1 + F.col("df"))) + 1).alias("idf"))
+
+
+def weighed(counts: DataFrame, terms: DataFrame, id_col: str) -> DataFrame:
+    """(id, weight and the other columns of `terms`), each document's weights scaled to length one; `terms` has as many rows as fit_terms was asked for."""
+    raw = counts.join(F.broadcast(terms), "term").withColumn("w", (1 + F.log("tf")) * F.col("idf"))
     length = F.sqrt(F.sum(F.col("w") * F.col("w")).over(Window.partitionBy(id_col)))
-    return raw.withColumn("weight", F.col("w") / length).select(id_col, "term", "weight")
+    return raw.withColumn("weight", F.col("w") / length).drop("tf", "idf", "w")
+
+
+def tfidf(docs: DataFrame, id_col: str, grams: Column, min_df: int = 3, max_terms: int = 20_000) -> DataFrame:
+    """(id, term, weight) of every document."""
+    counts = counted(docs, id_col, grams)
+    return weighed(counts, fit_terms(counts, docs.agg(F.count("*").alias("n")), min_df, max_terms), id_col).select(id_col, "term", "weight")

@@ -21,17 +21,34 @@ def labelled(corpus: DataFrame) -> DataFrame:
     )
 
 
+def _sides(rows: DataFrame) -> DataFrame:
+    """Of each hash whether training has it, and whether validation or test has; equal codes meet as partial aggregates, so a hot one never fills a task."""
+    train = F.col("split") == "train"
+    return rows.groupBy("code_hash").agg(F.bool_or(train).alias("_trained"), F.bool_or(~train).alias("_held"))
+
+
 def flag_leaks(rows: DataFrame) -> DataFrame:
     """Adds dup_of_train to validation and test rows: whether the training split, before any removal, has the same code."""
-    seen = rows.where("split = 'train'").select("code_hash").distinct().withColumn("_seen", F.lit(True))
-    return rows.join(seen, "code_hash", "left").withColumn("dup_of_train", F.when(F.col("split") != "train", F.coalesce("_seen", F.lit(False)))).drop("_seen")
+    trained = _sides(rows).where("_trained").select("code_hash", "_trained")
+    return rows.join(trained, "code_hash", "left").withColumn("dup_of_train", F.when(F.col("split") != "train", F.coalesce("_trained", F.lit(False)))).drop("_trained")
 
 
 def drop_leaks(rows: DataFrame) -> DataFrame:
     """Training rows whose code is in validation or test go; the others stay."""
-    held = rows.where("split <> 'train'").select("code_hash").distinct()
-    train = rows.where("split = 'train'").join(held, "code_hash", "left_anti")
-    return train.unionByName(rows.where("split <> 'train'"))
+    # few codes are on both sides, so this is the smaller table
+    both = _sides(rows).where("_trained AND _held").select("code_hash", "_held")
+    return rows.join(both, "code_hash", "left").where((F.col("split") != "train") | F.col("_held").isNull()).drop("_held")
+
+
+def common_codes(rows: DataFrame) -> DataFrame:
+    """Codes that training and the held-out splits share; none after drop_leaks."""
+    return rows.where("split = 'train'").select("code_hash").intersect(rows.where("split <> 'train'").select("code_hash"))
+
+
+def partition_classes(rows: DataFrame, dropped: list[str]) -> tuple[DataFrame, DataFrame]:
+    """The rows of the classes that stay, and of those that go."""
+    gone = F.col("label").isin(*dropped) if dropped else F.lit(False)
+    return rows.where(~gone), rows.where(gone)
 
 
 def _order(id_col: str, seed: int):

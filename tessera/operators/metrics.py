@@ -125,3 +125,47 @@ def first_best(candidates: DataFrame, score: str = "f1", seq: str = "seq") -> Da
 
 def histogram(rows: DataFrame, column: str) -> DataFrame:
     return rows.groupBy(column).agg(F.count("*").alias("n")).orderBy(F.desc("n"), column)
+
+
+def coverage_loss(rows: DataFrame, predicted: str = "predicted") -> DataFrame:
+    """What becomes of rows whose class a model no longer has: a row for each prediction, with the share that is flagged at all."""
+    counts = rows.groupBy(F.col(predicted).alias("predicted")).agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("n_rows"), F.sum(F.when(F.col("predicted") != taxonomy.SAFE, F.col("n")).otherwise(0)).alias("still_flagged"))
+    # one row
+    return counts.join(F.broadcast(total)).withColumn("fraction_still_flagged", F.round(ratio(F.col("still_flagged"), F.col("n_rows")), 4))
+
+
+def calibration_folds(rows: DataFrame, requested: int = 3, label: str = "label") -> DataFrame:
+    """The folds that the rarest class allows, at most `requested`; null below two."""
+    least = rows.groupBy(label).agg(F.count("*").alias("n")).agg(F.least(F.lit(requested).cast("long"), F.min("n")).alias("k"))
+    return least.select(F.when(F.col("k") >= 2, F.col("k")).alias("folds"))
+
+
+def memorisation_premium(rows: DataFrame, domain: list[str]) -> DataFrame:
+    """Macro F1 over a fixed list of classes on all rows, on those that training doesn't have, and the difference."""
+    one = lambda df, name: summary(report(confusion(df)), domain).select(F.col("n").alias(f"n_{name}"), F.col("macro_f1").alias(f"f1_{name}"))
+    both = one(rows, "all").join(F.broadcast(one(rows.where(~F.col("dup_of_train")), "unseen")))
+    return both.withColumn("premium", F.col("f1_all") - F.col("f1_unseen"))
+
+
+def headline(rows: DataFrame, pairs: DataFrame) -> DataFrame:
+    """The figures to quote for a detector: rows (gold, named, dup_of_train) and patched pairs (gold, on_vuln, on_fixed); the patched ones are null without a pair."""
+    whole = binary_metrics(rows).select(*[F.col(c).alias(f"binary_{c}") for c in ("precision", "recall", "f1")], F.col("fire_rate_on_safe").alias("fire_rate_on_safe_rows"))
+    unseen = binary_metrics(rows.where(~F.coalesce("dup_of_train", F.lit(False)))).select(F.col("f1").alias("binary_f1_unseen_only"))
+    macro = macro_supported(per_class(rows)).select(F.col("macro_f1").alias("cwe_macro_f1"))
+    some = F.col("pairs") > 0
+    fixed = patched(pairs).select(F.when(some, F.col("fire_rate_on_fixed")).alias("fire_rate_on_patched_code_upper_bound"), F.when(some, F.col("patch_sensitivity")).alias("patch_sensitivity"))
+    # one row each
+    return whole.join(F.broadcast(unseen)).join(F.broadcast(macro)).join(F.broadcast(fixed))
+
+
+def differences(a: DataFrame, b: DataFrame) -> DataFrame:
+    """Rows that only one of two results has, as often as it has them more; empty if they agree."""
+    return a.exceptAll(b).withColumn("only_in", F.lit("first")).unionByName(b.exceptAll(a).withColumn("only_in", F.lit("second")))
+
+
+def top_class(rows: DataFrame, id_col: str, candidates: str = "scores") -> DataFrame:
+    """The class of the greatest score (label, p, order in the list) by an aggregate over rows, the first of equals."""
+    each = rows.select(id_col, F.posexplode(candidates).alias("i", "s"))
+    best = each.groupBy(id_col).agg(F.max(F.struct(F.col("s.p").alias("p"), (-F.col("i")).alias("k"), F.col("s.label").alias("label"))).alias("b"))
+    return best.select(id_col, F.col("b.label").alias("predicted"))

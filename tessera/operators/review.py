@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions.taxonomy import mapping
+from tessera.functions.taxonomy import mapping, remedy, severity
 from tessera.functions.text import strip
 
 # Words that models use for categories and severities.
@@ -92,3 +92,82 @@ def comments(reviews: DataFrame, findings: DataFrame) -> DataFrame:
 def ordered_by_severity(findings: DataFrame, rank: Column) -> DataFrame:
     """Numbers the findings of a review by severity, file and line."""
     return findings.withColumn("seq", (F.row_number().over(Window.partitionBy("review_id").orderBy(rank, "file", F.coalesce("line", F.lit(0)), "seq")) - 1).cast("int"))
+
+
+# The prompt, with places for what a static analyser knows, the standards and the diff.
+KNOWN = """
+A static analyzer has ALREADY reported these issues, and they are already in the
+review comment:
+{issues}
+Do NOT repeat them. Report only what the analyzer cannot see (logic errors,
+design problems, missing checks, standards violations).
+"""
+PROMPT = """You are a senior software engineer reviewing a pull request.
+{known}
+
+Review ONLY the changes in the unified diff below. Focus on:
+- bugs and logic errors
+- security vulnerabilities
+- refactoring opportunities
+- violations of the organization coding standards provided
+
+Organization coding standards:
+---
+{standards}
+---
+
+Unified diff to review:
+```diff
+{diff}
+```
+
+Respond with ONLY a JSON object (no markdown fences) matching this schema:
+{{
+  "summary": "one paragraph",
+  "findings": [
+    {{
+      "file": "path/to/file",
+      "line": 42,
+      "category": "bug|security|refactor|style",
+      "severity": "info|minor|major|critical",
+      "message": "what is wrong",
+      "suggestion": "how to fix it"
+    }}
+  ]
+}}
+
+Rules:
+- "category" MUST be EXACTLY one of: bug, security, refactor, style. Map any
+  other kind of issue to the closest of these four.
+- "severity" MUST be EXACTLY one of: info, minor, major, critical.
+- "line" must be a single integer or null.
+If the change looks good, return an empty findings list."""
+NO_STANDARDS = "(none provided)"
+
+
+def prompt(diff: Column, standards: Column, issues: Column) -> Column:
+    """The prompt for a diff, with standards (blank: none) and the lines of known issues (an array, which may be null)."""
+
+    def filled(template: str, **parts: Column) -> Column:
+        pieces, rest = [], template
+        while "{" in rest.replace("{{", "").replace("}}", ""):
+            at = min((rest.index("{%s}" % k), k) for k in parts if "{%s}" % k in rest)
+            pieces += [F.lit(rest[: at[0]].replace("{{", "{").replace("}}", "}")), parts[at[1]]]
+            rest = rest[at[0] + len(at[1]) + 2 :]
+        return F.concat(*pieces, F.lit(rest.replace("{{", "{").replace("}}", "}")))
+
+    listed = F.array_join(F.transform(issues, lambda x: F.concat(F.lit("- "), x)), "\n")
+    known = F.when(F.size(issues) > 0, filled(KNOWN, issues=listed)).otherwise("")
+    return filled(PROMPT, known=known, standards=F.coalesce(F.nullif(standards, F.lit("")), F.lit(NO_STANDARDS)), diff=F.coalesce(diff, F.lit("")))
+
+
+def of_rules(findings: DataFrame, id_col: str = "diff_id") -> DataFrame:
+    """Rule findings (id, path, line, cwe, name, rule_id, evidence) by the REVIEW schema, by severity, file and line."""
+    message = F.concat("name", F.lit(" — this line matches a pattern that is unsafe by definition"), F.coalesce(F.concat(F.lit(" ("), "cwe", F.lit(")")), F.lit("")), F.lit("."))
+    rows = findings.select(
+        F.col(id_col).alias("review_id"), F.lit(0).alias("seq"), F.col("path").alias("file"), "line", F.lit("security").alias("category"), severity(F.col("cwe")).alias("severity"),
+        message.alias("message"), remedy(F.col("cwe")).alias("suggestion"), F.lit("rules").alias("source"), "cwe", "rule_id", F.coalesce("evidence", F.lit("")).alias("evidence"),
+    )
+    rank = F.array_position(F.array(*[F.lit(s) for s in ("critical", "major", "minor", "info")]), F.col("severity"))
+    number = F.row_number().over(Window.partitionBy("review_id").orderBy(rank, "file", F.coalesce("line", F.lit(0)), "rule_id")) - 1
+    return rows.withColumn("seq", number.cast("int"))

@@ -51,7 +51,14 @@ def _matrix(rows: DataFrame, offsets: np.ndarray) -> np.ndarray:
 
 def tune_offsets(rows: DataFrame, k: int, grid: np.ndarray | None = None, rounds: int = ROUNDS) -> tuple[np.ndarray, dict]:
     """Offsets for rows (gold int, scores array<double>), and how they were found; zeros if they don't help."""
-    grid = np.sort(offset_grid() if grid is None else np.asarray(grid, float))
+    rows = rows.select("gold", "scores").persist()  # some thirty passes over gold labels and scores
+    try:
+        return _tuned(rows, k, np.sort(offset_grid() if grid is None else np.asarray(grid, float)), rounds)
+    finally:
+        rows.unpersist()
+
+
+def _tuned(rows: DataFrame, k: int, grid: np.ndarray, rounds: int) -> tuple[np.ndarray, dict]:
     tried = np.argsort(np.abs(grid), kind="stable")
     offsets = np.zeros(k)
     plain = f1_per_class(_matrix(rows, offsets)).mean()
@@ -83,10 +90,11 @@ def transfer_estimate(rows: DataFrame, k: int, grid: np.ndarray | None = None, r
     gains: list[list[float]] = [[], []]
     for seed in range(repeats):
         side = F.pmod(F.xxhash64(F.col(id_col), F.lit(seed)), F.lit(2))
-        halves = [rows.where(side == s) for s in (0, 1)]
+        halves = [rows.where(side == s).select("gold", "scores").persist() for s in (0, 1)]
         offsets, _ = tune_offsets(halves[0], k, grid)
         for to, half in zip(gains, halves, strict=True):
             to.append(float(f1_per_class(_matrix(half, offsets)).mean() - f1_per_class(_matrix(half, np.zeros(k))).mean()))
+            half.unpersist()
     inside, outside = map(np.array, gains)
     return {"repeats": repeats, "in_sample": round(inside.mean(), 4), "held_out": round(outside.mean(), 4), "held_out_sd": round(outside.std(), 4), "optimism": round(inside.mean() - outside.mean(), 4)}
 

@@ -11,8 +11,10 @@ from bisect import bisect_right
 from collections.abc import Callable, Iterator
 from functools import cached_property, reduce
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as S
 
 from tessera.functions import rule_table as T
 from tessera.functions.guards import folded, may_match, needed
@@ -280,3 +282,12 @@ def scan_table(df: DataFrame, id_col: str, code: str, min_confidence: float = 0.
 
     rows = df.where(worth_scanning(F.col(code))).select(F.col(id_col).alias("id"), F.col(code).alias("code")).mapInArrow(work, f"id {df.schema[id_col].dataType.simpleString()}, found array<struct<{FINDING.replace(' ', ':').replace(',:', ',')}>>")
     return rows.select(F.col("id").alias(id_col), F.inline("found"))
+
+
+_KINDS = {"int": S.IntegerType(), "string": S.StringType(), "double": S.DoubleType()}
+
+
+@F.pandas_udf(S.ArrayType(S.StructType([S.StructField(name, _KINDS[kind]) for name, kind in map(str.split, FINDING.split(", "))])))
+def findings_of(code: pd.Series) -> pd.Series:
+    """Column function: the findings of a text."""
+    return code.map(lambda t: scan(t))

@@ -10,7 +10,7 @@ from tessera.operators import corpus as C
 from tessera.operators import findings as N
 from tessera.operators import metrics as M
 from tessera.plans import planted
-from tessera.plans.queries import _C_SQL, _CORPUS, _P_SQL, _PRED_SQL, _PRF, _TALLY, CLASS_LIST, detections, labelled, predictions, probabilities, query
+from tessera.plans.queries import _C_SQL, _CORPUS, _P_SQL, _PRED_SQL, _PRF, _REPORT_SQL, _TALLY, CLASS_LIST, detections, labelled, predictions, probabilities, query
 from tessera.sources.corpus import column_or, table
 
 #: Classes that a smaller taxonomy leaves out here.
@@ -59,6 +59,15 @@ def memorisation_premium(spark: SparkSession, sf_dir: str) -> DataFrame:
     return M.memorisation_premium(rows, CLASS_LIST)
 
 
+@query(_CORPUS + _REPORT_SQL + ", u AS (SELECT DISTINCT label FROM lab) SELECT avg(f1) AS f1_present, (SELECT sum(f1) FROM p WHERE label IN (SELECT label FROM u)) / (SELECT count(*) FROM u) AS f1_union FROM p")
+def macro_forms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Macro F1 over the labels that occur in gold or predictions, and over the labels that the splits have."""
+    report = M.report(M.confusion(predictions(spark, sf_dir))).persist()
+    union = sorted(r[0] for r in labelled(spark, sf_dir).select("label").distinct().collect())  # classes
+    one = lambda domain, name: M.summary(report, domain).select(F.col("macro_f1").alias(name))
+    return one(None, "f1_present").join(F.broadcast(one(union, "f1_union")))
+
+
 @query(_CORPUS + f""", h AS (SELECT {_TALLY} FROM det), u AS (SELECT {_TALLY} FROM det WHERE NOT coalesce(dup_of_train, false)),
 hp AS (SELECT *, {_PRF}, fp / (fp + tn)::DOUBLE AS fire FROM h), up AS (SELECT *, {_PRF} FROM u),
 c AS (SELECT l.label, count(*) FILTER (d.label = l.label) AS support, count(*) FILTER (d.label = l.label AND list_contains(named, l.label)) AS tp, count(*) FILTER (d.label <> l.label AND list_contains(named, l.label)) AS fp, count(*) FILTER (d.label = l.label AND NOT list_contains(named, l.label)) AS fn

@@ -18,7 +18,7 @@ def column_or(df: DataFrame, name: str, default: str = "") -> Column:
 def whole_texts(spark: SparkSession, paths: str) -> DataFrame:
     """path and text of whole files; broken UTF-8 is replaced."""
     raw = spark.read.format("binaryFile").load(paths)
-    return raw.select("path", F.decode("content", "utf-8").alias("text"))
+    return raw.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def code_corpus(spark: SparkSession, folder: str) -> DataFrame:

@@ -10,6 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQueryListener
 
 from tessera.operators import findings as N
 from tessera.operators import review as R
@@ -55,6 +56,25 @@ def guarded(scan: Callable[[DataFrame], DataFrame], note: Callable[[Exception],
     return safe
 
 
+class Progress(StreamingQueryListener):
+    """Calls back with the number and the rows of each micro-batch."""
+
+    def __init__(self, call: Callable[[int, int], None]):
+        self.call = call
+
+    def onQueryStarted(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryProgress(self, event) -> None:  # noqa: N802
+        self.call(event.progress.batchId, event.progress.numInputRows)
+
+    def onQueryIdle(self, event) -> None:  # noqa: N802
+        pass
+
+    def onQueryTerminated(self, event) -> None:  # noqa: N802
+        pass
+
+
 def handler(diffs: Callable[[DataFrame], DataFrame], answers: Callable[[DataFrame], DataFrame], post: Callable[[DataFrame, int], None], note: Callable[[str, Exception], None]) -> Callable[[DataFrame, int], None]:
     """What webhook.run calls for each micro-batch: stages that fail are noted by name, and the stream goes on."""
 

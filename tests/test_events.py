@@ -1,6 +1,7 @@
 import hashlib
 import hmac
 import json
+import time
 
 from tessera.streaming import events, webhook
 
@@ -36,7 +37,16 @@ def test_stream_from_event_to_comment(spark, tmp_path):
     diffs = lambda e: spark.createDataFrame([(1, DIFF)], "event_id long, diff string")
     answers = lambda e: spark.createDataFrame([(1, ANSWER)], "event_id long, raw string")
     handle = events.handler(diffs, answers, lambda df, n: posted.extend(df.collect()), lambda stage, e: noted.append((stage, e)))
+    seen = []
+    progress = events.Progress(lambda number, n: seen.append((number, n)))
+    spark.streams.addListener(progress)
     webhook.run(webhook.read_events(spark, str(tmp_path / "in")), "k", handle, str(tmp_path / "checkpoint")).awaitTermination(120)
+    for _ in range(100):
+        if seen:
+            break
+        time.sleep(0.1)
+    spark.streams.removeListener(progress)
+    assert seen[0] == (0, 2)
     assert [(r.event_id, r.stage) for r in posted] == [(1, "done")] and not noted
 
     def fails(e):

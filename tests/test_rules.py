@@ -76,3 +76,23 @@ def test_table(spark):
 def test_evidence_of_a_built_query():
     found = scan("q = 'SELECT a FROM t WHERE id=' + x\ncur.execute(q)")
     assert [(f["line"], f["confidence"], f["evidence"]) for f in found] == [(2, 0.9, "q = 'SELECT a FROM t WHERE id=' + x -> cur.execute(q)")]
+
+
+def test_column_function(spark):
+    from tessera.operators.rules import findings_of
+
+    df = spark.createDataFrame([(1, "gets(b);}"), (2, None), (3, "x")], "i int, code string")
+    got = {r.i: [f.rule_id for f in r.f] for r in df.select("i", findings_of("code").alias("f")).collect()}
+    assert got == {1: ["RX-C-GETS"], 2: [], 3: []}
+
+
+def test_diff_table_function(spark):
+    from tessera.operators.findings import DiffLines
+    from tessera.plans.reviews import DIFFS
+
+    spark.udtf.register("diff_lines", DiffLines)
+    df = spark.createDataFrame(list(enumerate(d for d, _ in DIFFS)), "i int, diff string")
+    df.createOrReplaceTempView("some_diffs")
+    rows = spark.sql("SELECT i, t.* FROM some_diffs, LATERAL diff_lines(diff) t").collect()
+    for i, (_, shown) in enumerate(DIFFS):
+        assert [(r.line, r.text, r.is_added) for r in rows if r.i == i] == [x[1:] for x in shown]

@@ -1,4 +1,8 @@
+import random
+import re
+
 import numpy as np
+import xxhash
 
 from tessera.llm import simhash
 
@@ -14,12 +18,73 @@ def brute(fps):
 
 
 def test_tree_reaches_every_ball():
-    home, offsets, leaves = simhash.tree(7)
     rng = np.random.default_rng(0)
-    for v in rng.integers(0, 1 << 16, 200):
-        for other in [v, *(v ^ (1 << b) for b in range(16))]:
-            low, high = sorted((v, other), key=lambda x: home[x])
-            assert home[high] in leaves[offsets[low] : offsets[low + 1]]
+    fps = rng.integers(0, 1 << 63, 4000, dtype=np.uint64)
+    tree = simhash.Tree()
+    tree.grow(fps[:1000], 4)
+    for leaf in (0, 3, 7):
+        tree.grow(fps[tree.home(fps) == leaf], 2, leaf)
+    near = fps.copy()
+    for _ in range(simhash.RADIUS):
+        near ^= np.uint64(1) << rng.integers(0, 64, len(near), dtype=np.uint64)
+    assert sorted(set(tree.home(fps).tolist())) == list(range(tree.leaves)) and tree.leaves > 16
+    reached = {leaf: set(at.tolist()) for leaf, at in tree.visits(fps)}
+    assert len(reached) == tree.leaves
+    assert all(i in reached[int(h)] for who in (fps, near) for i, h in enumerate(tree.home(who)))
+
+
+def test_shard_finds_all_links(monkeypatch):
+    monkeypatch.setattr(simhash, "CANDIDATES", 7)
+    monkeypatch.setattr(simhash, "QUERIES", 5)
+    rng = np.random.default_rng(5)
+    fps = np.unique(rng.integers(0, 1 << 10, 150, dtype=np.uint64) << np.uint64(20))
+    stored, guests = fps[::2], fps[1::2]
+    shard = simhash.Shard(stored)
+    shard.link_stored()
+    a, b = shard.link_guests(guests)
+    linked = [g for g in guests.tolist() if any((g ^ s).bit_count() <= 4 for s in stored.tolist())]
+    assert a.tolist() == linked and all((x ^ y).bit_count() <= 4 for x, y in zip(a.tolist(), b.tolist(), strict=True))
+    # guests join up what they link to
+    want = brute(fps.tolist())
+    classes = {}
+    for x in stored.tolist():
+        classes.setdefault(want[x], []).append(x)
+    members, root = shard.stars()
+    label = dict(zip(stored.tolist(), stored.tolist(), strict=True)) | dict(zip(members.tolist(), root.tolist(), strict=True))
+    alone = simhash.Shard(stored)
+    alone.link_stored()
+    members, root = alone.stars()
+    assert dict(zip(members.tolist(), root.tolist(), strict=True)) == {x: w for x, w in brute(stored.tolist()).items() if x != w}
+    assert all(want[x] == want[y] for x, y in label.items()) and len(set(label.values())) <= len(set(stored.tolist()) - set(members.tolist()))
+
+
+def plain_fingerprint(text):
+    w = ["".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in x) for x in re.findall(r"[^\x20\x09-\x0D]+", text)]
+    if not w:
+        return 0
+    shingles = [" ".join(w[i : i + 4]) for i in range(len(w) - 3)] or [" ".join(w)]
+    h = [xxhash.xxh64(x.encode(), seed=42).intdigest() for x in shingles]
+    return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+
+def test_near_duplicates_against_brute_force(make_docs, monkeypatch):
+    monkeypatch.setattr(simhash, "LEAF", 8)
+    rng = random.Random(3)
+    texts = []
+    for _ in range(25):
+        w = [f"{rng.choice('aÄbçD')}w{rng.randrange(400)}" for _ in range(rng.randrange(1, 160))]
+        for _ in range(4):
+            texts.append(rng.choice([" ", "\t", "  "]).join(w))
+            w[rng.randrange(len(w))] = rng.choice(["X", "y", "zz"])
+    rows = [(i * 7 % 1009, t) for i, t in enumerate(texts)]
+    got = {r.doc_id: (r.fingerprint, r.component_id) for r in simhash.near_duplicates(make_docs(rows)).collect()}
+    fps = {i: plain_fingerprint(t) for i, t in rows}
+    label = brute(set(fps.values()))
+    first = {}
+    for i, f in fps.items():
+        first[label[f]] = min(i, first.get(label[f], i))
+    assert got == {i: (f"{f:016x}", first[label[f]]) for i, f in fps.items()}
+    assert len(first) < len(set(fps.values()))
 
 
 def test_links_are_complete(spark, monkeypatch):

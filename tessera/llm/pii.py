@@ -4,12 +4,14 @@ Base matches of four kinds are the seeds. The one or two words to the left of
 everything that looks like an identifier are its lexical patterns. Patterns
 and instances make a bipartite graph over the whole corpus; for ROUNDS rounds
 patterns are scored by the share of their instances that are known, and
-instances by the patterns they stand in. Patterns of high confidence, seen
+instances by the patterns they stand in; what is found beyond doubt counts as
+a seed in the next round. Patterns of high confidence, seen
 with several seeds, then mark what else stands in them and has the kind's
 rough shape. Only built-in DataFrame functions are used.
 
 Null texts are empty ones, null ids and repeated rows stay as they are, other
-columns are ignored, and an empty table gives an empty result.
+columns are ignored (masked gives them back as they are), and an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -17,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import run_dir, text_of, written
+from tessera.llm._common import fresh, run_dir, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that no run of characters is read twice.
@@ -28,22 +30,32 @@ PATTERNS = {
     "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
 }
 #: What looks like an identifier: groups of digits, or a word with a digit or an at sign.
-LOOSE = r"\+?\(?[0-9]++(?:[\x20().-]{1,2}[0-9]++)++|(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]{0,64}[0-9@][A-Za-z0-9._%+@-]*+(?<=[A-Za-z0-9])"
-#: Rounds of scoring, distinct seeds that a pattern needs, and its least confidence.
-ROUNDS, MIN_SEEDS, MIN_CONFIDENCE = 3, 3, 0.6
+LOOSE = r"\+?\(?[0-9]++(?:[\x20().-]{1,2}[0-9]++)++|(?<![A-Za-z0-9._%+@-])[A-Za-z._%+-]*+[0-9@][A-Za-z0-9._%+@-]*+(?<=[A-Za-z0-9])"
+#: Rounds of scoring, distinct seeds that a pattern needs, its least confidence, and the score from which a found instance is a seed of the next round.
+ROUNDS, MIN_SEEDS, MIN_CONFIDENCE, SURE = 3, 3, 0.6, 0.9
 SPAN = "struct<kind:int,s:int,e:int>"
 
 
-def located(t: Column, pattern: str) -> Column:
-    """(s, e, m, left) of every match, left to right: code points before it are those of the segments and matches so far."""
+def last_words(text: Column) -> Column:
+    """The last two words, or the last, of a text."""
+    return F.reverse(F.regexp_extract(F.reverse(text), r"^\s*(\S+(?:\s+\S+)?)", 1))
+
+
+def located(t: Column, pattern: str, context: bool = False) -> Column:
+    """(s, e, m, left) of every match, left to right: code points before it are those of the segments and matches so far.
+
+    `left`, if asked for, has the words before a match; in a list, where only
+    signs stand between two matches, those before its first.
+    """
     whole = F.arrays_zip(F.split(t, pattern, -1).alias("seg"), F.regexp_extract_all(t, F.lit(f"({pattern})"), F.lit(1)).alias("m"))
-    start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<struct<s:int,e:int,m:string,left:string>>").alias("out"))
+    start = F.struct(F.lit(0).alias("pos"), F.lit("").alias("left"), F.array().cast("array<struct<s:int,e:int,m:string,left:string>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
         at = acc["pos"] + F.length(x["seg"])
         end = at + F.length(x["m"])
-        found = F.struct(at.alias("s"), end.alias("e"), x["m"].alias("m"), F.right(x["seg"], F.lit(64)).alias("left"))
-        return F.struct(F.coalesce(end, at).alias("pos"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
+        left = F.when(x["seg"].rlike(r"\p{L}"), last_words(x["seg"])).otherwise(acc["left"]) if context else F.lit("")
+        found = F.struct(at.alias("s"), end.alias("e"), x["m"].alias("m"), left.alias("left"))
+        return F.struct(F.coalesce(end, at).alias("pos"), left.alias("left"), F.when(x["m"].isNull(), acc["out"]).otherwise(F.concat(acc["out"], F.array(found))).alias("out"))
 
     return F.aggregate(whole, start, step, lambda acc: acc["out"])
 
@@ -113,7 +125,7 @@ def scored_patterns(occurrences: DataFrame) -> DataFrame:
     score = seeds
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     for _ in range(ROUNDS):
-        known = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.when(F.col("score") >= 1, 1)).alias("seeds"))
+        known = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.when(F.col("score") >= SURE, 1)).alias("seeds"))
         patterns = written(known.where(F.col("seeds") >= MIN_SEEDS).join(sizes, "pattern").select("pattern", "kind", "seeds", (F.col("mass") / F.col("n")).alias("confidence")), run_dir(spark, "pii-patterns"))
         good = patterns.where(F.col("confidence") >= MIN_CONFIDENCE)
         # an instance is as sure as its patterns together: one minus the product of their doubts
@@ -130,7 +142,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFra
     t = F.col("t")
     left = F.lower(F.rtrim(F.translate(F.col("x.left"), "\n\t\r", "   ")))
     rows = docs.select(F.col(id_col).alias("id"), text_of(text).alias("t"))
-    rows = rows.select("id", F.xxhash64("t").alias("h"), base_spans(t).alias("base"), F.when(t.rlike("[0-9@]"), located(t, LOOSE)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,left:string>>")).alias("loose"))
+    rows = rows.select("id", F.xxhash64("t").alias("h"), base_spans(t).alias("base"), F.when(t.rlike("[0-9@]"), located(t, LOOSE, True)).otherwise(F.array().cast("array<struct<s:int,e:int,m:string,left:string>>")).alias("loose"))
     table = written(rows, run_dir(spark, "pii-spans"))
     at = table.where(F.size("loose") > 0).select("id", "h", "base", F.explode("loose").alias("x"))
     seed = F.get(F.filter("base", lambda b: (b["s"] < F.col("x.e")) & (b["e"] > F.col("x.s"))), F.lit(0))["kind"]
@@ -154,10 +166,11 @@ def digest(found: DataFrame, id_col: str = "doc_id") -> DataFrame:
 def masked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """`docs` with each span replaced by its kind in angle brackets; a span that overlaps an earlier one is left to it. Null texts stay null."""
     found = find(docs, id_col, text)
-    spans = found.where(F.size("spans") > 0).groupBy(F.col(id_col).alias("_id"), F.col("h").alias("_h")).agg(F.first("spans").alias("_spans"))
-    rows = docs.join(spans, F.col(id_col).eqNullSafe(F.col("_id")) & (F.xxhash64(text_of(text)) == F.col("_h")), "left")
+    key, h, held = (fresh(docs, f"pii_{x}") for x in ("id", "hash", "spans"))
+    spans = found.where(F.size("spans") > 0).groupBy(F.col(id_col).alias(key), F.col("h").alias(h)).agg(F.first("spans").alias(held))
+    rows = docs.join(spans, F.col(id_col).eqNullSafe(F.col(key)) & (F.xxhash64(text_of(text)) == F.col(h)), "left")
     names = F.array(*[F.lit(f"<{k.upper()}>") for k in KINDS])
-    by_place = F.array_sort(F.transform("_spans", lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
+    by_place = F.array_sort(F.transform(held, lambda x: F.struct(x["s"].alias("s"), x["e"].alias("e"), x["kind"].alias("kind"))))
     start = F.struct(F.lit(0).alias("pos"), F.array().cast("array<string>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
@@ -165,4 +178,4 @@ def masked(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataF
         return F.when(x["s"] < acc["pos"], acc).otherwise(F.struct(x["e"].alias("pos"), F.concat(acc["out"], piece).alias("out")))
 
     done = F.aggregate(by_place, start, step, lambda acc: F.concat(F.array_join(acc["out"], ""), F.substring(F.col(text), acc["pos"] + 1, F.length(text))))
-    return rows.withColumn(text, F.when(F.col("_h").isNull(), F.col(text)).otherwise(done)).select(*docs.columns)
+    return rows.withColumn(text, F.when(F.col(h).isNull(), F.col(text)).otherwise(done)).select(*docs.columns)

@@ -60,3 +60,29 @@ def test_masking(make_docs):
     out = pii.masked(make_docs(rows))
     assert out.columns == ["doc_id", "text", "lang", "source", "n_chars"]
     assert sorted((r.doc_id or 0, r.text or "") for r in out.collect()) == sorted([(1, "a <EMAIL> b <IP>"), (1, "a <EMAIL> b <IP>"), (1, "clean"), (0, "<EMAIL>"), (2, ""), (3, "<PHONE> end")])
+
+
+def found(make_docs, rows):
+    out = {r.doc_id: r.spans for r in pii.digest(pii.find(make_docs(rows))).collect()}
+    return {i: [t[int(s) : int(e)] for s, e in (x.split(":")[1:] for x in filter(None, out[i].split(",")))] for i, t in rows}
+
+
+def test_lists_share_the_context_of_their_first(make_docs):
+    rows = [(i, f"Please call me at +1 555 010 {1000 + i} now") for i in range(8)] + [(20, "Please call me at 555 010 7777, 555 010 7778 now")]
+    assert found(make_docs, rows)[20] == ["555 010 7777", "555 010 7778"]
+
+
+def test_what_is_found_leads_on_to_more(make_docs):
+    rows = [(i, f"Please call me at +1 555 010 {1000 + i} now") for i in range(30)]
+    rows += [(100 + i, f"Please call me at 555 010 {2000 + i} now") for i in range(5)]  # found by the first pattern
+    rows += [(200 + i, f"her other line is 555 010 {2000 + i} again") for i in range(5)]  # a pattern of found ones only
+    rows += [(300, "her other line is 555 010 3000 again")]  # in no other place
+    got = found(make_docs, rows)
+    assert got[100] == ["555 010 2000"] and got[200] == ["555 010 2000"] and got[300] == ["555 010 3000"]
+
+
+def test_long_words_are_whole_contexts(make_docs):
+    word = "w" * 200
+    rows = [(i, f"x {word} +1 555 010 {1000 + i} y") for i in range(8)] + [(20, f"z {word} 555 010 7777 y"), (21, f"z v{word} 555 010 8888 y")]
+    got = found(make_docs, rows)
+    assert got[20] == ["555 010 7777"] and got[21] == []

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own_dir: str | None = None
+_made: list[str] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -29,7 +30,17 @@ def shared_root(spark: SparkSession) -> str:
 
 def run_dir(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder."""
-    return f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}"
+    _made.append(f"{shared_root(spark)}/tessera/{name}-{uuid.uuid4().hex}")
+    return _made[-1]
+
+
+def remove_runs(spark: SparkSession) -> int:
+    """Delete the folders that this session's operators made; for when their results have been used. Returns their number."""
+    n = 0
+    while _made:
+        path = spark._jvm.org.apache.hadoop.fs.Path(_made.pop())
+        n += path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    return n
 
 
 def written(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:

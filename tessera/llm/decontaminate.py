@@ -15,7 +15,9 @@ are, and four fewer inside; the heaviest such loss is taken off the item's
 score against itself. So retrieval loses nothing that verification
 would accept. Null and empty texts and items match nothing, an item below
 five words is one shingle, null ids and repeated rows stay as they are, other
-columns are ignored; empty tables are fine.
+columns are given back as they are; empty tables are fine. Item ids are whole
+numbers. The items are a query set of bounded size: they pass through the
+driver, BLOCK_ITEMS at a time.
 """
 
 from __future__ import annotations
@@ -29,8 +31,9 @@ from functools import reduce
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm._common import text_of
+from tessera.llm._common import fresh, text_of
 
 WORDS = re.compile(r"\w+")
 SHINGLE, MIN_OVERLAP, MIN_PART = 5, 0.8, 0.5
@@ -181,8 +184,8 @@ class Index:
         return out
 
 
-def matcher(items, text: str, name: str):
-    """What adds the verified items of each text; `items` is a broadcast list."""
+def matcher(items, at: int, name: str):
+    """What adds the verified items of the text in the column numbered `at`; `items` is a broadcast list."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
@@ -190,38 +193,38 @@ def matcher(items, text: str, name: str):
         index = Index(items.value)
         kind = pa.list_(pa.struct([("item", pa.int64()), ("score", pa.float64())]))
         for b in batches:
-            made = [[{"item": i, "score": x} for i, x in sorted(index.matches(t).items())] if t else [] for t in b.column(text).to_pylist()]
+            made = [[{"item": i, "score": x} for i, x in sorted(index.matches(t).items())] if t else [] for t in b.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(made, kind)], [*b.schema.names, name])
 
     return work
 
 
 def contaminated_pairs(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
-    """All columns of `docs`, and `_items`: the verified items (id, score) by id."""
+    """All columns of `docs`, and as the last one `items` (with underscores before it where `docs` has that name): the verified items (id, score) by id."""
     spark = docs.sparkSession
     numbered = items.where(F.col("text").isNotNull()).select(F.col(item_col).cast("long").alias("item"), F.col("text").alias("item_text"))
     n = numbered.count()
     blocks = max(1, -(-n // BLOCK_ITEMS))
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    out = docs
+    kind = T.ArrayType(T.StructType([T.StructField("item", T.LongType()), T.StructField("score", T.DoubleType())]))
+    name, at = fresh(docs, "items"), docs.columns.index(text)
+    out, made = docs, []
     for k in range(blocks):
         # BLOCK_ITEMS items or so at once: the test set is a query set against all rows, in blocks
         part = [(r[0], r[1]) for r in numbered.where(F.pmod(F.xxhash64("item", "item_text"), F.lit(blocks)) == k).collect()]
-        fields += f", _items{k} array<struct<item:bigint,score:double>>"
-        out = out.mapInArrow(matcher(spark.sparkContext.broadcast(part), text, f"_items{k}"), fields)
-    merged = reduce(lambda a, b: F.concat(a, b), [F.col(f"_items{i}") for i in range(blocks)])
-    return out.withColumn("_items", F.array_sort(merged)).drop(*[f"_items{i}" for i in range(blocks)])
+        made.append(fresh(out, f"items_{k}"))
+        out = out.mapInArrow(matcher(spark.sparkContext.broadcast(part), at, made[-1]), T.StructType([*out.schema.fields, T.StructField(made[-1], kind)]))
+    return out.select(*docs.columns, F.array_sort(reduce(F.concat, map(F.col, made))).alias(name))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, id_col: str = "doc_id", text: str = "text", item_col: str = "item_id") -> DataFrame:
     """id, contaminated, n_items, items (ids, comma-joined in order) and score (the best) of every row."""
     slim = docs.select(F.col(id_col).alias("id"), text_of(text).alias("t"))
     found = contaminated_pairs(slim, items, "id", "t", item_col)
-    ids = F.transform("_items", lambda x: x["item"])
+    ids = F.transform("items", lambda x: x["item"])
     return found.select(
         F.col("id").alias(id_col),
-        (F.size("_items") > 0).alias("contaminated"),
-        F.size("_items").cast("long").alias("n_items"),
+        (F.size("items") > 0).alias("contaminated"),
+        F.size("items").cast("long").alias("n_items"),
         F.array_join(ids, ",").alias("items"),
-        F.coalesce(F.array_max(F.transform("_items", lambda x: x["score"])), F.lit(0.0)).alias("score"),
+        F.coalesce(F.array_max(F.transform("items", lambda x: x["score"])), F.lit(0.0)).alias("score"),
     )

@@ -6,8 +6,9 @@ overfull ranges and gives exact positions. Rows larger than an eighth of a
 shard (a few hundred at most, as their sizes add up) are dealt first, largest
 to the emptiest; the rest fills the shards in order up to one common level.
 
-Null texts have no bytes, null ids sort first, repeated rows are placed one
-by one, other columns are ignored, and an empty table gives an empty result.
+Null texts have no bytes, null ids sort first, ids that aren't whole numbers
+sort by their hash, repeated rows are placed one by one, other columns are
+ignored, and an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -16,6 +17,7 @@ import heapq
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import IntegralType
 
 from tessera.llm._common import run_dir, text_of, written
 from tessera.llm._order import positioned
@@ -42,13 +44,14 @@ def shard_by_bytes(docs: DataFrame, shards: int, id_col: str = "doc_id", text: s
     """id, size, text_crc32, shard and slot of every row."""
     spark = docs.sparkSession
     t = text_of(text)
+    number = F.col(id_col).cast("long") if isinstance(docs.schema[id_col].dataType, IntegralType) else F.when(F.col(id_col).isNotNull(), F.xxhash64(id_col))
     slim = written(
         docs.select(
             F.col(id_col).alias("id"),
             (F.octet_length(t) + OVERHEAD).cast("long").alias("_w"),
             F.crc32(t).alias("crc"),
-            # 16 hex digits of the hash, then of the id: as many characters for each row
-            F.concat(F.lpad(F.hex(F.xxhash64(t)), 16, "0"), F.coalesce(F.lpad(F.hex(F.col(id_col).cast("long")), 16, "0"), F.lit("-" * 16))).alias("_key"),
+            # 16 hex digits of the hash, of the id, and of the row's place, so that a range of equal rows can be cut
+            F.concat(F.lpad(F.hex(F.xxhash64(t)), 16, "0"), F.coalesce(F.lpad(F.hex(number), 16, "0"), F.lit("-" * 16)), F.lpad(F.hex(F.monotonically_increasing_id()), 16, "0")).alias("_key"),
         ),
         run_dir(spark, "shard-sizes"),
     )

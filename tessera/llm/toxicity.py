@@ -11,7 +11,8 @@ curve fitted on the same sample turns the weights into a score.
 
 Null texts are empty ones and score the base rate of texts without hits, null
 ids and repeated rows stay as they are, null labels are left out, other
-columns are ignored. Without a labelled toxic row every score is near zero.
+columns are given back as they are. Without a labelled toxic row every score
+is near zero.
 """
 
 from __future__ import annotations
@@ -25,8 +26,9 @@ from collections.abc import Iterable, Iterator
 import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tessera.llm._common import text_of
+from tessera.llm._common import fresh, text_of
 
 #: Labelled rows of each class that the lexicon and the curve are fitted on, at most, and the longest such text.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2_000, 6_000, 20_000
@@ -36,8 +38,8 @@ MIN_DOCS, MIN_RATIO, STEMS = 3, 10.0, range(4, 10)
 EDIT = 0.6
 #: Words before and after a hit that make its context.
 WINDOW = 6
-#: Words a worker remembers; beyond that it starts anew.
-MAX_MEMO = 500_000
+#: Words a worker remembers, and states of its automaton; beyond that it starts anew.
+MAX_MEMO, MAX_STATES = 500_000, 100_000
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 INNER = re.compile(r"[\W_]+")
@@ -163,8 +165,9 @@ class Scorer:
         memo = self.memo
         new = set(tokens).difference(memo)
         if new:
-            if len(memo) > MAX_MEMO:
+            if len(memo) > MAX_MEMO or len(self.automaton.sets) > MAX_STATES:
                 memo.clear()
+                self.automaton = LexiconAutomaton(self.terms, self.stems)
                 new = set(tokens)
             for t in new:
                 memo[t] = self.weight(t)
@@ -267,30 +270,28 @@ def held_out(id_col: str, folds: int = 5):
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit(""))) % folds == 0
 
 
-def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5) -> Scorer:
-    """Fits on labelled rows whose id isn't held out: MAX_TOXIC and MAX_CLEAN of them at most, by the hash of their id, with one text each."""
+def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text: str = "text", label: str = "toxic", folds: int = 5, max_toxic: int = MAX_TOXIC, max_clean: int = MAX_CLEAN, max_chars: int = MAX_CHARS) -> Scorer:
+    """Fits on a bounded sample of labelled rows: `max_toxic` and `max_clean` ids that aren't held out, by their hash, with one text each of at most `max_chars` characters."""
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).groupBy(F.col(id_col).alias("_id")).agg((F.max(label) > 0).cast("int").alias("y")).where(~held_out("_id", folds))
-    chosen = known.where("y = 1").orderBy(F.xxhash64("_id"), "_id").limit(MAX_TOXIC).union(known.where("y = 0").orderBy(F.xxhash64("_id"), "_id").limit(MAX_CLEAN))
-    texts = docs.select(F.col(id_col).alias("_id"), text_of(text).alias("t")).where(F.length("t") <= MAX_CHARS)
-    # one text for each of MAX_TOXIC + MAX_CLEAN ids, the first by hash, however many rows an id has
+    chosen = known.where("y = 1").orderBy(F.xxhash64("_id"), "_id").limit(max_toxic).union(known.where("y = 0").orderBy(F.xxhash64("_id"), "_id").limit(max_clean))
+    texts = docs.select(F.col(id_col).alias("_id"), text_of(text).alias("t")).where(F.length("t") <= max_chars)
+    # one text for each of max_toxic + max_clean ids, the first by hash, however many rows an id has
     first = F.min(F.struct(F.xxhash64("t").alias("h"), "t"))["t"].alias("t")
     rows = texts.join(F.broadcast(chosen), "_id").groupBy("_id", "y").agg(first).select("_id", "t", "y").collect()
     return learn([(r[1], r[2]) for r in sorted(rows, key=lambda r: (zlib.crc32(str(r[0]).encode()), r[0], r[1]))])
 
 
 def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text: str = "text") -> DataFrame:
-    """All columns of `docs`, and score."""
+    """All columns of `docs`, and as the last one score (with underscores before it where `docs` has that name)."""
     parts = (scorer.terms, scorer.stems, sorted(scorer.safe), scorer.curve)
-    name = "_score" if "score" in docs.columns else "score"
+    name, at = fresh(docs, "score"), docs.columns.index(text)
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         own = Scorer(*parts)
         for b in batches:
-            made = pa.array([own.score(t or "") for t in b.column(text).to_pylist()], pa.float64())
+            made = pa.array([own.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
             yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, name])
 
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    return docs.mapInArrow(work, f"{fields}, {name} double")
-
+    return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

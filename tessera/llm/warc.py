@@ -6,7 +6,7 @@ and payload digests; a record that breaks a rule raises WarcError. A task
 writes files under names of its own, and only files in the manifest of
 successful tasks count, so tasks may fail and run again.
 
-Null payloads are empty, null ids give records without an id, repeated rows
+Ids are whole numbers. Null payloads are empty, null ids give records without an id, repeated rows
 give a record each, other columns are ignored, and an empty table gives an
 empty archive.
 """
@@ -116,7 +116,9 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html:
     big = F.octet_length("payload") >= min_revisit
     owners = rows.where(big).groupBy("digest").agg(F.max("id").alias("owner"), F.count("*").alias("_n")).where("_n > 1").drop("_n")
     # a row for each payload that occurs twice or more on the right; the skew of a hot payload on the left is Spark's to split
-    decided = rows.join(owners, "digest", "left").withColumn("owner", F.when(big & (F.col("id") != F.col("owner")), F.col("owner")))
+    decided = rows.where(big).join(owners, "digest", "left").withColumn("owner", F.when(F.col("id") != F.col("owner"), F.col("owner")))
+    # smaller ones are written where they lie
+    decided = decided.unionByName(rows.where(~big).withColumn("owner", F.lit(None).cast("long")))
     archives = f"{folder}/archives"
 
     def write(batches: Iterator) -> Iterator:

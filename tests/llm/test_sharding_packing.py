@@ -85,3 +85,20 @@ def test_equal_documents_are_neighbours(make_docs):
     order = sorted(packing.pack(make_docs(rows), WORD, 64).collect(), key=lambda p: (p.sequence_id, p.offset))
     kinds = [p.doc_id % 2 for p in order]
     assert sum(a != b for a, b in zip(kinds, kinds[1:], strict=False)) == 1
+
+
+def test_equal_rows_are_cut_like_others(make_docs, monkeypatch):
+    from tessera.llm import _order
+
+    monkeypatch.setattr(_order, "ROWS", 20)
+    out = sharding.shard_by_bytes(make_docs([(None, "same text")] * 400), 4).collect()
+    assert sorted(sum(r.shard == s for r in out) for s in range(4)) == [100] * 4
+    assert all(sorted(r.slot for r in out if r.shard == s) == list(range(100)) for s in range(4))
+    # heavy rows of one id and one text
+    out = sharding.shard_by_bytes(make_docs([(1, "x" * 5000)] * 6 + [(i, "y") for i in range(40)]), 3).collect()
+    assert len(out) == 46 and sorted(sum(r["size"] > 5000 for r in out if r.shard == s) for s in range(3)) == [2, 2, 2]
+
+
+def test_ids_that_are_texts(spark):
+    docs = spark.createDataFrame([(f"id{i}", f"text {i}") for i in range(20)] + [(None, "n")], "doc_id string, text string")
+    assert sorted(r.doc_id or "" for r in sharding.shard_by_bytes(docs, 3).collect()) == sorted([""] + [f"id{i}" for i in range(20)])

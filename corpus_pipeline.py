@@ -22,7 +22,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each class stays; documents are linked at a similarity of 0.8 of their five-word shingles."""
+    """The document with the smallest id of each class stays; SimHash finds near copies, verified at a similarity of 0.8 of their five-word shingles, and min-hash bands the rest of them."""
     return simhash.keep_one(docs, classes=near_copies.classes(docs))
 
 

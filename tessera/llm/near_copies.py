@@ -1,19 +1,23 @@
-"""Near-copy classes by exact Jaccard similarity of word shingles.
-
-What the SimHash stage of the pipeline links by, as 64-bit fingerprints can't
-tell a similarity of 0.8. Texts of equal shingle sets are one from the start.
+"""Near-copy classes by SimHash, made whole and exact by Jaccard similarity of word shingles.
+
+Texts of equal shingle sets are one from the start. The others go through the
+vantage-point tree of operator 3 by the fingerprints of their shingles; what
+it puts together is verified with the class's text of the smallest number on
+the shingle sets themselves. At a similarity of 0.8 fingerprints differ in
+some 10 of 64 bits, so the tree alone would miss links; bands of min-hashes
+give the rest, and look only at texts that SimHash hasn't put into one class.
 A signature of BANDS * ROWS min-hashes, a byte each, stands for a set; a band
 is ROWS of them in one number. Texts meet where they share a band, which a
 pair of similarity 0.8 fails to do with probability (1 - 0.8 ** ROWS) **
 BANDS, about 8e-6, and a closer one less often. What meets is compared in two
 rounds. First every member of a band's group with the group's centre, the
 member of the smallest number, so that near copies meet the same centre in
-most of their bands. Then, in groups that still hold several classes,
-members of different classes with each other, block by block where a group is
-large; a block gives a link only where it joins two classes. Pairs whose
-signatures agree in less than LIKELY of their bytes, five deviations below
-the similarity, are passed by; the others are verified on the shingle sets
-themselves.
+most of their bands. Then, in groups (SimHash classes too) that still hold
+several classes, members of different classes with each other, block by block
+where a group is large; a block gives a link only where it joins two classes.
+Pairs whose signatures agree in less than LIKELY of their bytes, five
+deviations below the similarity, are passed by; the others are verified on
+the shingle sets.
 
 Texts without words are one class, a text below WORDS words is one shingle,
 null ids are never a class id where another id is there, other columns are
@@ -30,7 +34,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm._common import run_dir, text_of, written
-from tessera.llm.simhash import components
+from tessera.llm.simhash import components, linked, majority
 
 #: Words of a shingle, and the least similarity of linked texts.
 WORDS, SIMILARITY = 5, 0.8
@@ -46,15 +50,20 @@ _XOR = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32)
 _TIMES = _RNG.integers(0, 1 << 32, (BANDS * ROWS, 1), dtype=np.uint32) | np.uint32(1)
 
 
-def shingle_set(text: bytes) -> np.ndarray:
-    """Sorted hashes of the distinct shingles of a UTF-8 text."""
+def shingle_hashes(text: bytes) -> np.ndarray:
+    """Hashes of the shingles of a UTF-8 text, repeats included."""
     from xxhash import xxh64_intdigest
 
     w = text.lower().split()
     if not w:
         return np.zeros(0, np.uint64)
-    shingles = set(map(b" ".join, zip(*(w[i:] for i in range(WORDS)), strict=False))) if len(w) >= WORDS else {b" ".join(w)}
-    return np.unique(np.fromiter(map(xxh64_intdigest, shingles), np.uint64, len(shingles)))
+    shingles = map(b" ".join, zip(*(w[i:] for i in range(WORDS)), strict=False)) if len(w) >= WORDS else [b" ".join(w)]
+    return np.fromiter(map(xxh64_intdigest, shingles), np.uint64)
+
+
+def shingle_set(text: bytes) -> np.ndarray:
+    """Sorted hashes of the distinct shingles of a UTF-8 text."""
+    return np.unique(shingle_hashes(text))
 
 
 def digest(s: np.ndarray) -> bytes:
@@ -93,17 +102,22 @@ def batches_of(spark: SparkSession, rows: int):
 
 
 def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
-    """id, text hash, key (digest of the shingle set) and bands of every row."""
+    """id, text hash, key (digest of the shingle set), fingerprint and bands of every row."""
 
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
         for b in batches:
-            made = [(digest(s), signature(s)) for s in (shingle_set(t.as_py()) for t in b.column("t"))]
-            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array([x for x, _ in made], pa.binary()), pa.array([x for _, x in made], pa.list_(pa.int64()))], ["id", "th", "key", "bands"])
+            keys, fps, bands = [], np.zeros(b.num_rows, np.uint64), []
+            for k, t in enumerate(b.column("t")):
+                h = shingle_hashes(t.as_py())
+                fps[k], s = majority(h), np.unique(h)
+                keys.append(digest(s))
+                bands.append(signature(s))
+            yield pa.RecordBatch.from_arrays([b.column("id"), b.column("th"), pa.array(keys, pa.binary()), pa.array(fps.view(np.int64)), pa.array(bands, pa.list_(pa.int64()))], ["id", "th", "key", "fp", "bands"])
 
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(text_of(text)).alias("th"), F.encode(text_of(text), "utf-8").alias("t"))
-    return rows.mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, th long, key binary, bands array<long>")
+    return rows.mapInArrow(work, f"id {docs.schema[id_col].dataType.simpleString()}, th long, key binary, fp long, bands array<long>")
 
 
 def sets_of(docs: DataFrame, wanted: DataFrame, text: str) -> DataFrame:
@@ -208,36 +222,62 @@ def across(members: DataFrame, distinct: DataFrame, sets: DataFrame) -> DataFram
     return rows.repartition("h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(work, "a long, b long").distinct()
 
 
+def found(distinct: DataFrame) -> DataFrame:
+    """uid and center (the smallest uid) of the SimHash classes of the sets that have shingles."""
+    some = distinct.where(F.size("bands") > 0).select("uid", "fp")
+    return some.join(linked(some.withColumnRenamed("uid", "id")), "fp").select("uid", F.col("component_id").alias("center"))
+
+
+def banded(distinct: DataFrame) -> DataFrame:
+    """h, uid, center (the smallest uid) and n of the groups that share a band of min-hashes."""
+    each = distinct.select("uid", F.posexplode("bands").alias("k", "v")).select("uid", F.xxhash64("k", "v").alias("h"))
+    return each.join(each.groupBy("h").agg(F.min("uid").alias("center"), F.count("*").alias("n")).where("n > 1"), "h")
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> DataFrame:
     """id and component_id (the smallest id of the class) of every row."""
     spark = docs.sparkSession
     keep = lambda df, name: written(df, run_dir(spark, f"near-{name}"))
     rows = keep(keyed(docs, id_col, text), "rows")
     # the bands follow from the key; a number for each key is written once
-    distinct = rows.groupBy("key").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.first("bands").alias("bands"))
+    distinct = rows.groupBy("key").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     distinct = keep(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
-    each = distinct.select("uid", F.posexplode("bands").alias("k", "v")).select("uid", F.xxhash64("k", "v").alias("h"))
-    groups = each.groupBy("h").agg(F.min("uid").alias("center"), F.count("*").alias("n")).where("n > 1")
-    members = keep(each.join(groups, "h"), "members")
 
-    stars = keep(members.where("uid <> center").select(F.least("uid", "center").alias("a"), F.greatest("uid", "center").alias("b")).distinct(), "stars")
-    with batches_of(spark, BATCH):
-        good = keep(likely(stars, distinct), "likely")
-        wanted = good.select(F.col("a").alias("uid")).union(good.select("b")).distinct()
-        sets = keep(sets_of(docs, distinct.select("th", "key", "uid").join(wanted, "uid", "left_semi"), text), "sets")
-        edges = keep(verified(good, sets).distinct(), "edges")
-    roots = components(edges, "near").withColumnRenamed("node", "uid")
+    def texts(wanted: DataFrame) -> DataFrame:
+        return sets_of(docs, distinct.select("th", "key", "uid").join(wanted, "uid", "left_semi"), text)
+
+    def alike_of(pairs: DataFrame) -> DataFrame:
+        with batches_of(spark, BATCH):
+            good = keep(likely(pairs, distinct), "likely")
+            sets = keep(texts(good.select(F.col("a").alias("uid")).union(good.select("b")).distinct()), "sets")
+            return keep(verified(good, sets).distinct(), "edges")
+
+    def rooted(edges: DataFrame) -> DataFrame:
+        return components(edges, "near").withColumnRenamed("node", "uid")
+
+    near = keep(found(distinct), "simhash")
+    edges = alike_of(near.where("uid <> center").select(F.col("center").alias("a"), F.col("uid").alias("b")))
+    roots = rooted(edges)
+
+    # what SimHash left apart and a band holds together
+    members = keep(banded(distinct), "members")
+    of = lambda name: roots.select(F.col("uid").alias(name), F.col("root").alias(f"{name}_root"))
+    stars = members.where("uid <> center").select(F.col("center").alias("a"), F.col("uid").alias("b")).distinct()
+    stars = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
+    edges = keep(edges.unionByName(alike_of(keep(stars, "stars"))), "edges")
+    roots = rooted(edges)
 
     # groups whose members the stars left in several classes, beyond pairs, which the stars have settled
-    placed = keep(members.where("n > 2").join(roots, "uid", "left").select("h", "uid", "n", F.coalesce("root", "uid").alias("root")), "placed")
+    sized = near.join(near.groupBy("center").agg(F.count("*").alias("n")).where("n > 2"), "center").select(F.xxhash64("center", F.lit("simhash")).alias("h"), "uid", "n")
+    groups = members.where("n > 2").select("h", "uid", "n").unionByName(sized)
+    placed = keep(groups.join(roots, "uid", "left").select("h", "uid", "n", F.coalesce("root", "uid").alias("root")), "placed")
     mixed = placed.groupBy("h").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("h")
     left = keep(placed.join(mixed, "h", "left_semi"), "mixed")
     if not left.isEmpty():
         with batches_of(spark, BATCH):
-            wanted = left.select("uid").distinct()
-            sets = keep(sets_of(docs, distinct.select("th", "key", "uid").join(wanted, "uid", "left_semi"), text).dropDuplicates(["uid"]), "sets")
+            sets = keep(texts(left.select("uid").distinct()).dropDuplicates(["uid"]), "sets")
             edges = keep(edges.unionByName(across(left, distinct, sets)).distinct(), "edges")
-        roots = components(edges, "near").withColumnRenamed("node", "uid")
+        roots = rooted(edges)
 
     whole = distinct.select("key", "uid", "first").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     smallest = whole.groupBy("root").agg(F.min("first").alias("component_id"))

@@ -50,7 +50,11 @@ def fingerprint(text: bytes, words: int = SHINGLE, seed: int = SEED) -> int:
     if not w:
         return 0
     shingles = map(b" ".join, zip(*(w[i:] for i in range(words)), strict=False)) if len(w) >= words else [b" ".join(w)]
-    h = np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64)
+    return majority(np.fromiter((xxh64_intdigest(s, seed) for s in shingles), np.uint64))
+
+
+def majority(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes of a text's shingles."""
     on = np.zeros(64, np.int64)
     for at in range(0, len(h), 1 << 16):
         on += np.unpackbits(h[at : at + (1 << 16)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
@@ -339,16 +343,20 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
             return labels
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
-    """id, fingerprint (16 hex digits) and component_id (the smallest id of the class) of every row."""
-    spark = docs.sparkSession
-    fps = written(fingerprints(docs, id_col, text, words), run_dir(spark, "simhash-fingerprints"))
+def linked(fps: DataFrame) -> DataFrame:
+    """fp and component_id (the smallest id of the class) of every distinct fingerprint of the written rows (id, fp)."""
+    spark = fps.sparkSession
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("first")), run_dir(spark, "simhash-distinct"))
     edges = written(links(distinct, distinct.count()), run_dir(spark, "simhash-links"))
     roots = distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    classes = written(roots.join(smallest, "root").select("fp", "component_id"), run_dir(spark, "simhash-classes"))
-    return fps.join(classes, "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    return written(roots.join(smallest, "root").select("fp", "component_id"), run_dir(spark, "simhash-classes"))
+
+
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:
+    """id, fingerprint (16 hex digits) and component_id (the smallest id of the class) of every row."""
+    fps = written(fingerprints(docs, id_col, text, words), run_dir(docs.sparkSession, "simhash-fingerprints"))
+    return fps.join(linked(fps), "fp").select(F.col("id").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", classes: DataFrame | None = None) -> DataFrame:

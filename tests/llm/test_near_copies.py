@@ -2,6 +2,7 @@ import random
 
 import corpus_pipeline
 from tessera.llm import near_copies as n
+from tessera.llm.simhash import majority
 
 
 def brute_kept(rows):
@@ -57,3 +58,21 @@ def test_odd(odd_docs, make_docs, spark):
     kept = corpus_pipeline.near_dedup(spark, odd_docs, "")
     assert kept.columns == odd_docs.columns and sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 5]
     assert n.classes(make_docs([])).count() == 0
+
+
+def test_simhash_finds_and_sets_decide(spark, make_docs, monkeypatch):
+    rng = random.Random(12)
+    base = [[f"w{rng.randrange(5000)}" for _ in range(400)] for _ in range(20)]
+    rows = [(i, " ".join(b)) for i, b in enumerate(base)] + [(100 + i, " ".join([*b[:-1], "other"])) for i, b in enumerate(base)]
+    # equal fingerprints: what is repeated decides all bits, but most shingles differ
+    often = " ".join(["one two three four five"] * 400)
+    rows += [(200 + k, " ".join([often, *(f"t{k}x{i}" for i in range(20))])) for k in range(2)]
+    assert len({majority(n.shingle_hashes(t.encode())) for i, t in rows if i >= 200}) == 1
+    want, _ = brute_kept(rows)
+    assert {200, 201} <= set(want)
+    # without any band SimHash gives the links
+    real = n.banded
+    monkeypatch.setattr(n, "banded", lambda distinct: real(distinct).limit(0))
+    kept = {r.doc_id for r in corpus_pipeline.near_dedup(spark, make_docs(rows), "").select("doc_id").collect()}
+    near = {i for i, b in enumerate(base) if (majority(n.shingle_hashes(rows[i][1].encode())) ^ majority(n.shingle_hashes(rows[20 + i][1].encode()))).bit_count() <= 4}
+    assert len(near) > 10 and {100 + i for i in near}.isdisjoint(kept) and set(want) <= kept

@@ -11,6 +11,9 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
+#: Rows of a file of a table of narrow rows.
+FILE_ROWS = 1 << 16
+
 _own_dir: str | None = None
 _made: list[str] = []
 
@@ -50,6 +53,11 @@ def written(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """`df`, of at most so many narrow rows, in as many partitions as these need, or as there are cores: each partition becomes a file, which costs an executor several processes on a local store."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+
+
 def fresh(df: DataFrame, stem: str) -> str:
     """A column name that `df` hasn't, in any case."""
     used = {c.lower() for c in df.columns}

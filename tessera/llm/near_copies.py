@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import run_dir, text_of, written
+from tessera.llm._common import few, run_dir, text_of, written
 from tessera.llm.simhash import components, linked, majority
 
 #: Words of a shingle, and the least similarity of linked texts.
@@ -243,6 +243,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     distinct = rows.groupBy("key").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
     distinct = keep(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
 
+    n = distinct.count()
+
     def texts(wanted: DataFrame) -> DataFrame:
         return sets_of(docs, distinct.select("th", "key", "uid").join(wanted, "uid", "left_semi"), text)
 
@@ -255,7 +257,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     def rooted(edges: DataFrame) -> DataFrame:
         return components(edges, "near").withColumnRenamed("node", "uid")
 
-    near = keep(found(distinct), "simhash")
+    near = keep(few(found(distinct), n), "simhash")
     edges = alike_of(near.where("uid <> center").select(F.col("center").alias("a"), F.col("uid").alias("b")))
     roots = rooted(edges)
 
@@ -264,13 +266,14 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     of = lambda name: roots.select(F.col("uid").alias(name), F.col("root").alias(f"{name}_root"))
     stars = members.where("uid <> center").select(F.col("center").alias("a"), F.col("uid").alias("b")).distinct()
     stars = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-    edges = keep(edges.unionByName(alike_of(keep(stars, "stars"))), "edges")
+    edges = keep(few(edges.unionByName(alike_of(keep(few(stars, members.count()), "stars"))), n), "edges")
     roots = rooted(edges)
 
     # groups whose members the stars left in several classes, beyond pairs, which the stars have settled
     sized = near.join(near.groupBy("center").agg(F.count("*").alias("n")).where("n > 2"), "center").select(F.xxhash64("center", F.lit("simhash")).alias("h"), "uid", "n")
     groups = members.where("n > 2").select("h", "uid", "n").unionByName(sized)
-    placed = keep(groups.join(roots, "uid", "left").select("h", "uid", "n", F.coalesce("root", "uid").alias("root")), "placed")
+    placed = groups.join(roots, "uid", "left").select("h", "uid", "n", F.coalesce("root", "uid").alias("root"))
+    placed = keep(few(placed, members.count() + n), "placed")
     mixed = placed.groupBy("h").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("h")
     left = keep(placed.join(mixed, "h", "left_semi"), "mixed")
     if not left.isEmpty():
@@ -281,5 +284,5 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
 
     whole = distinct.select("key", "uid", "first").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))
     smallest = whole.groupBy("root").agg(F.min("first").alias("component_id"))
-    of = keep(whole.join(smallest, "root").select("key", "component_id"), "classes")
+    of = keep(few(whole.join(smallest, "root").select("key", "component_id"), n), "classes")
     return rows.select("id", "key").join(of, "key").select(F.col("id").alias(id_col), "component_id")

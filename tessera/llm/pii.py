@@ -19,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import fresh, run_dir, text_of, written
+from tessera.llm._common import few, fresh, run_dir, text_of, written
 
 KINDS = ("email", "ip", "card", "phone")
 #: The base patterns, written so that no run of characters is read twice.
@@ -119,20 +119,23 @@ def scored_patterns(occurrences: DataFrame) -> DataFrame:
     """(pattern, kind) of high confidence, from written occurrences (pattern, instance, kind or null)."""
     spark = occurrences.sparkSession
     # instances of a pattern, each once; a seed's kind goes with its instance wherever that stands
-    edges = written(occurrences.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), run_dir(spark, "pii-edges"))
+    n = occurrences.count()
+    edges = written(few(occurrences.groupBy("pattern", "instance").agg(F.max("kind").alias("kind")), n), run_dir(spark, "pii-edges"))
     seeds = edges.where("kind IS NOT NULL").groupBy("instance").agg(F.min("kind").alias("kind")).withColumn("score", F.lit(1.0))
     # only patterns that some seed stands in can ever gain confidence from it
     score = seeds
     sizes = edges.groupBy("pattern").agg(F.count("*").alias("n"))
     for _ in range(ROUNDS):
         known = edges.select("pattern", "instance").join(score, "instance").groupBy("pattern", "kind").agg(F.sum("score").alias("mass"), F.count(F.when(F.col("score") >= SURE, 1)).alias("seeds"))
-        patterns = written(known.where(F.col("seeds") >= MIN_SEEDS).join(sizes, "pattern").select("pattern", "kind", "seeds", (F.col("mass") / F.col("n")).alias("confidence")), run_dir(spark, "pii-patterns"))
+        patterns = known.where(F.col("seeds") >= MIN_SEEDS).join(sizes, "pattern").select("pattern", "kind", "seeds", (F.col("mass") / F.col("n")).alias("confidence"))
+        patterns = written(few(patterns, n), run_dir(spark, "pii-patterns"))
         good = patterns.where(F.col("confidence") >= MIN_CONFIDENCE)
         # an instance is as sure as its patterns together: one minus the product of their doubts
         doubt = F.exp(F.sum(F.log(F.greatest(1 - F.col("confidence"), F.lit(1e-9)))))
         grown = edges.select("pattern", "instance").join(good, "pattern").groupBy("instance", "kind").agg((1 - doubt).alias("score"))
         fresh = grown.join(seeds.select("instance"), "instance", "left_anti").where("score < 1")
-        score = written(seeds.select("instance", "kind", "score").unionByName(fresh.select("instance", "kind", "score")), run_dir(spark, "pii-instances"))
+        score = seeds.select("instance", "kind", "score").unionByName(fresh.select("instance", "kind", "score"))
+        score = written(few(score, n), run_dir(spark, "pii-instances"))
     return patterns.where(F.col("confidence") >= MIN_CONFIDENCE).select("pattern", "kind")
 
 

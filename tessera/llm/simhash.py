@@ -30,7 +30,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm._common import fresh, run_dir, text_of, written
+from tessera.llm._common import few, fresh, run_dir, text_of, written
 
 #: Words of a shingle, seed of its hash, bits that linked fingerprints may differ in.
 SHINGLE, SEED, RADIUS = 4, 42, 4
@@ -332,12 +332,15 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
     """(node, root) of every node of the written table `edges` (a, b): labels spread to neighbours and jump to their label's label until none changes."""
     spark = edges.sparkSession
     both = written(edges.select("a", "b").union(edges.select("b", "a")), run_dir(spark, f"{name}-edges"))
-    labels = written(both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root")), run_dir(spark, f"{name}-labels"))
+    n = both.count()
+    labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
+    labels = written(few(labels, n), run_dir(spark, f"{name}-labels"))
     while True:
         near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("root").alias("m"))
         met = labels.join(near, labels["node"] == near["a"]).select("node", "root", F.least("root", "m").alias("low"))
         jump = labels.select(F.col("node").alias("low"), F.col("root").alias("far"))
-        stepped = written(met.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("new"), "root"), run_dir(spark, f"{name}-labels"))
+        stepped = met.join(jump, "low", "left").select("node", F.least("low", F.coalesce("far", "low")).alias("new"), "root")
+        stepped = written(few(stepped, n), run_dir(spark, f"{name}-labels"))
         labels = stepped.select("node", F.col("new").alias("root"))
         if stepped.where("new <> root").isEmpty():
             return labels
@@ -347,10 +350,11 @@ def linked(fps: DataFrame) -> DataFrame:
     """fp and component_id (the smallest id of the class) of every distinct fingerprint of the written rows (id, fp)."""
     spark = fps.sparkSession
     distinct = written(fps.groupBy("fp").agg(F.min("id").alias("first")), run_dir(spark, "simhash-distinct"))
-    edges = written(links(distinct, distinct.count()), run_dir(spark, "simhash-links"))
+    n = distinct.count()
+    edges = written(links(distinct, n), run_dir(spark, "simhash-links"))
     roots = distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
-    return written(roots.join(smallest, "root").select("fp", "component_id"), run_dir(spark, "simhash-classes"))
+    return written(few(roots.join(smallest, "root").select("fp", "component_id"), n), run_dir(spark, "simhash-classes"))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = SHINGLE) -> DataFrame:

@@ -36,3 +36,22 @@ def test_slices_by_bytes():
 def test_fresh_names(spark):
     df = spark.createDataFrame([(1, 2)], "Score int, _score int")
     assert C.fresh(df, "score") == "__score" and C.fresh(df, "other") == "other"
+
+
+def test_small_tables_are_few_files(spark, monkeypatch):
+    from tessera.llm import simhash
+
+    made = []
+    real = simhash.written
+    monkeypatch.setattr(simhash, "written", lambda df, path, *a: made.append((path, real(df, path, *a))) or made[-1][1])
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "60")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        edges = spark.range(400).selectExpr("id AS a", "id + 1000 AS b")
+        assert simhash.components(edges, "few").where("root >= 1000").count() == 0
+    finally:
+        for k, v in kept.items():
+            spark.conf.set(k, v)
+    files = [len(df.inputFiles()) for path, df in made if "few-labels" in path]
+    assert files and max(files) <= spark.sparkContext.defaultParallelism

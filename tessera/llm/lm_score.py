@@ -35,9 +35,9 @@ from tessera.llm.eftrie import Level, Vocabulary, groups, restored
 
 MIN_COUNT, DISCOUNT = 1, 0.75
 #: Entries of a segment aimed at, bytes of text for a segment of the vocabulary, n-grams counted before a task passes them on.
-SEGMENT, WORD_BYTES, MAX_HELD = 1_000_000, 64 << 20, 2_000_000
-#: Bytes of text, and words, worked on at once.
-TEXT, WORDS = 8 << 20, 600_000
+SEGMENT, WORD_BYTES, MAX_HELD = 2_000_000, 64 << 20, 2_000_000
+#: Bytes of text, and words, worked on at once: mostly a whole slice, as each run of documents asks every segment.
+TEXT, WORDS = 8 << 20, 2_000_000
 #: No word: the end of a text. Words have no line feeds.
 END = b"\n"
 #: Stands for all followers that aren't kept.

@@ -104,3 +104,13 @@ def test_default_keeps_every_ngram(make_docs):
     got = sorted((tuple(r) for r in lm_score.score(make_docs(docs)).collect()), key=repr)
     for g, w in zip(got, sorted(brute(docs, 1), key=repr), strict=True):
         assert g[:5] == w[:5] and abs(g[6] - w[6]) < 1e-3 * w[2]
+
+
+def test_a_slice_asks_each_segment_once():
+    import pyarrow as pa
+
+    text = " ".join(f"w{i % 5000}" for i in range(5000))
+    hashes, places, upto = lm_score.split(pa.array([text] * (lm_score.TEXT // len(text))))
+    slice_ = lm_score.packed([hashes]), lm_score.packed([places], False), lm_score.packed([upto])
+    assert len(places) > 1_200_000
+    assert [(at, to) for at, to, *_ in lm_score.Model(0, 0, 0, ()).documents(*slice_)] == [(0, len(upto))]

@@ -167,11 +167,14 @@ class WordUnits(Units):
             out[i] = self[keys[i]] = self.value(ids)
         return out
 
-    def ids(self, texts) -> tuple[np.ndarray, np.ndarray]:
-        """The ids of an Arrow array's texts one after another, and how many each text has."""
+    def ids(self, texts) -> tuple[np.ndarray, np.ndarray] | list[bytes]:
+        """The ids of an Arrow array's texts one after another, and how many each text has; of a list, the ids of each text as bytes."""
         import pyarrow as pa
         import pyarrow.compute as pc
 
+        if isinstance(texts, list):
+            flat, n = self.ids(pa.array(texts, pa.string()))
+            return [x.tobytes() for x in np.split(flat, np.cumsum(n)[:-1])] if texts else []
         # the library lower-cases each letter by itself, and this one grows
         low = pc.utf8_lower(pc.replace_substring(texts, "İ", "i̇") if pc.any(pc.match_substring(texts, "İ")).as_py() else texts)
         # special tokens are told by their case before that: a text with the like of one is encoded whole

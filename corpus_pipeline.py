@@ -11,37 +11,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import decontaminate, near_copies, packing, pii, simhash, toxicity
-from tessera.llm._common import run_dir, written
+from tessera.llm._common import WIDE_ROWS, few, run_dir, written
+
+
+def gathered(out: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows of a stage in as many partitions as the documents before it need, however many small ones they came in."""
+    return few(out, docs.count(), WIDE_ROWS)
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score below one half stay; null and empty texts do."""
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet").select("doc_id", "toxic")
     scored = toxicity.score(docs, toxicity.train(docs, labels))
-    return scored.where(F.col(scored.columns[-1]) < 0.5).select(*docs.columns)
+    return gathered(scored.where(F.col(scored.columns[-1]) < 0.5).select(*docs.columns), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest id of each class stays; SimHash finds near copies, verified at a similarity of 0.8 of their five-word shingles, and min-hash bands the rest of them."""
-    return simhash.keep_one(docs, classes=near_copies.classes(docs))
+    return gathered(simhash.keep_one(docs, classes=near_copies.classes(docs)), docs)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without any passage of the benchmark stay."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet").select("item_id", "text")
     found = decontaminate.contaminated_pairs(docs, items)
-    return found.where(F.size(found.columns[-1]) == 0).select(*docs.columns)
+    return gathered(found.where(F.size(found.columns[-1]) == 0).select(*docs.columns), docs)
 
 
 def mask_pii(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All documents stay, with personal data masked and n_chars brought up to date."""
-    return pii.masked(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return gathered(pii.masked(docs).withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)), docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the packed sequences."""
     out = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), 2048)
-    return out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+    return gathered(out.select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"), docs)
 
 
 STAGES = [

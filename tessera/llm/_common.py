@@ -11,8 +11,8 @@ from pyspark.sql import functions as F
 #: Words are runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Rows of a file of a table of narrow rows.
-FILE_ROWS = 1 << 16
+#: Rows of a file of a table of narrow rows, and of one whose rows hold texts, sets or signatures.
+FILE_ROWS, WIDE_ROWS = 1 << 16, 1 << 13
 
 _own_dir: str | None = None
 _made: list[str] = []
@@ -53,9 +53,9 @@ def written(df: DataFrame, path: str, codec: str = "snappy") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def few(df: DataFrame, rows: int) -> DataFrame:
-    """`df`, of at most so many narrow rows, in as many partitions as these need, or as there are cores: each partition becomes a file, which costs an executor several processes on a local store."""
-    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // FILE_ROWS)))
+def few(df: DataFrame, rows: int, each: int = FILE_ROWS) -> DataFrame:
+    """`df`, of at most so many rows, in as many partitions as these need, or as there are cores: each partition becomes a file, which costs an executor several processes on a local store."""
+    return df.coalesce(max(df.sparkSession.sparkContext.defaultParallelism, -(-rows // each)))
 
 
 def fresh(df: DataFrame, stem: str) -> str:
@@ -85,7 +85,7 @@ def by_bytes(batch, column: str, most: int = 16 << 20):
     import numpy as np
     import pyarrow.compute as pc
 
-    ends = np.cumsum(pc.binary_length(batch.column(column)).to_numpy(zero_copy_only=False))
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False))
     at = 0
     while at < batch.num_rows:
         before = ends[at - 1] if at else 0

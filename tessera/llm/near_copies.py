@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import few, run_dir, text_of, written
+from tessera.llm._common import WIDE_ROWS, few, run_dir, text_of, written
 from tessera.llm.simhash import components, linked, majority
 
 #: Words of a shingle, and the least similarity of linked texts.
@@ -241,45 +241,47 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Data
     rows = keep(keyed(docs, id_col, text), "rows")
     # the bands follow from the key; a number for each key is written once
     distinct = rows.groupBy("key").agg(F.min("id").alias("first"), F.min("th").alias("th"), F.min("fp").alias("fp"), F.first("bands").alias("bands"))
-    distinct = keep(distinct.withColumn("uid", F.monotonically_increasing_id()), "distinct")
+    distinct = keep(few(distinct, rows.count(), WIDE_ROWS).withColumn("uid", F.monotonically_increasing_id()), "distinct")
 
     n = distinct.count()
 
     def texts(wanted: DataFrame) -> DataFrame:
         return sets_of(docs, distinct.select("th", "key", "uid").join(wanted, "uid", "left_semi"), text)
 
-    def alike_of(pairs: DataFrame) -> DataFrame:
+    def alike_of(pairs: DataFrame, most: int) -> DataFrame:
         with batches_of(spark, BATCH):
-            good = keep(likely(pairs, distinct), "likely")
-            sets = keep(texts(good.select(F.col("a").alias("uid")).union(good.select("b")).distinct()), "sets")
-            return keep(verified(good, sets).distinct(), "edges")
+            good = keep(few(likely(pairs, distinct), most), "likely")
+            most = good.count()
+            sets = keep(few(texts(good.select(F.col("a").alias("uid")).union(good.select("b")).distinct()), min(2 * most, n), WIDE_ROWS), "sets")
+            return keep(few(verified(good, sets).distinct(), most), "edges")
 
     def rooted(edges: DataFrame) -> DataFrame:
         return components(edges, "near").withColumnRenamed("node", "uid")
 
     near = keep(few(found(distinct), n), "simhash")
-    edges = alike_of(near.where("uid <> center").select(F.col("center").alias("a"), F.col("uid").alias("b")))
+    edges = alike_of(near.where("uid <> center").select(F.col("center").alias("a"), F.col("uid").alias("b")), n)
     roots = rooted(edges)
 
     # what SimHash left apart and a band holds together
-    members = keep(banded(distinct), "members")
+    members = keep(few(banded(distinct), BANDS * n), "members")
+    held = members.count()
     of = lambda name: roots.select(F.col("uid").alias(name), F.col("root").alias(f"{name}_root"))
     stars = members.where("uid <> center").select(F.col("center").alias("a"), F.col("uid").alias("b")).distinct()
     stars = stars.join(of("a"), "a", "left").join(of("b"), "b", "left").where("coalesce(a_root, a) <> coalesce(b_root, b)").select("a", "b")
-    edges = keep(few(edges.unionByName(alike_of(keep(few(stars, members.count()), "stars"))), n), "edges")
+    edges = keep(few(edges.unionByName(alike_of(keep(few(stars, held), "stars"), held)), n), "edges")
     roots = rooted(edges)
 
     # groups whose members the stars left in several classes, beyond pairs, which the stars have settled
     sized = near.join(near.groupBy("center").agg(F.count("*").alias("n")).where("n > 2"), "center").select(F.xxhash64("center", F.lit("simhash")).alias("h"), "uid", "n")
     groups = members.where("n > 2").select("h", "uid", "n").unionByName(sized)
     placed = groups.join(roots, "uid", "left").select("h", "uid", "n", F.coalesce("root", "uid").alias("root"))
-    placed = keep(few(placed, members.count() + n), "placed")
+    placed = keep(few(placed, held + n), "placed")
     mixed = placed.groupBy("h").agg((F.min("root") != F.max("root")).alias("mixed")).where("mixed").select("h")
-    left = keep(placed.join(mixed, "h", "left_semi"), "mixed")
+    left = keep(few(placed.join(mixed, "h", "left_semi"), held + n), "mixed")
     if not left.isEmpty():
         with batches_of(spark, BATCH):
-            sets = keep(texts(left.select("uid").distinct()).dropDuplicates(["uid"]), "sets")
-            edges = keep(edges.unionByName(across(left, distinct, sets)).distinct(), "edges")
+            sets = keep(few(texts(left.select("uid").distinct()).dropDuplicates(["uid"]), min(left.count(), n), WIDE_ROWS), "sets")
+            edges = keep(few(edges.unionByName(across(left, distinct, sets)).distinct(), edges.count() + left.count()), "edges")
         roots = rooted(edges)
 
     whole = distinct.select("key", "uid", "first").join(roots, "uid", "left").withColumn("root", F.coalesce("root", "uid"))

@@ -331,7 +331,7 @@ def links(distinct: DataFrame, n: int) -> DataFrame:
 def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
     """(node, root) of every node of the written table `edges` (a, b): labels spread to neighbours and jump to their label's label until none changes."""
     spark = edges.sparkSession
-    both = written(edges.select("a", "b").union(edges.select("b", "a")), run_dir(spark, f"{name}-edges"))
+    both = written(few(edges.select("a", "b").union(edges.select("b", "a")), 2 * edges.count()), run_dir(spark, f"{name}-edges"))
     n = both.count()
     labels = both.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("node"), F.least("a", "m").alias("root"))
     labels = written(few(labels, n), run_dir(spark, f"{name}-labels"))
@@ -372,7 +372,7 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", classe
     classes = near_duplicates(docs, id_col, text) if classes is None else classes
     name, count = fresh(docs, "kept_id"), fresh(docs, "kept_n")
     kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias(count))
-    kept = written(kept, run_dir(spark, "simhash-kept"))
+    kept = written(few(kept, docs.count()), run_dir(spark, "simhash-kept"))
     # the ids have no bound on their size, so they are never broadcast, however few they are
     of = lambda rows: docs.join(rows.select(name).hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     again = kept.where((F.col(count) > 1) & F.col(name).isNotNull())

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import fresh, text_of
+from tessera.llm._common import by_bytes, fresh, text_of
 
 #: Labelled rows of each class that the lexicon and the curve are fitted on, at most, and the longest such text.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2_000, 6_000, 20_000
@@ -40,6 +40,8 @@ EDIT = 0.6
 WINDOW = 6
 #: Words a worker remembers, and states of its automaton; beyond that it starts anew.
 MAX_MEMO, MAX_STATES = 500_000, 100_000
+#: Bytes of the texts that a worker takes out of a batch at once.
+SLICE_BYTES = 4 << 20
 
 EDGE = re.compile(r"^[\W_]+|[\W_]+$")
 INNER = re.compile(r"[\W_]+")
@@ -290,8 +292,9 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text: str = "
         import pyarrow as pa
 
         own = Scorer(*parts)
-        for b in batches:
-            made = pa.array([own.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
-            yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, name])
+        for batch in batches:
+            for b in by_bytes(batch, at, SLICE_BYTES):
+                made = pa.array([own.score(t or "") for t in b.column(at).to_pylist()], pa.float64())
+                yield pa.RecordBatch.from_arrays([*b.columns, made], [*b.schema.names, name])
 
     return docs.mapInArrow(work, T.StructType([*docs.schema.fields, T.StructField(name, T.DoubleType())]))

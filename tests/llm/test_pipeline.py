@@ -53,3 +53,9 @@ def test_stages(spark, folder):
     whole = corpus_pipeline.run(spark, folder)
     key = lambda rows: sorted(json.dumps(r.asDict(), sort_keys=True) for r in rows)
     assert key(whole.select("doc_id", "start", "length", "doc_tokens").collect()) == key([p for p in corpus_pipeline.STAGES[-1][1](spark, docs, folder).select("doc_id", "start", "length", "doc_tokens").collect()])
+
+
+def test_stages_gather_small_partitions(spark, folder):
+    docs = spark.read.parquet(f"{folder}/documents.parquet").repartition(40)
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs, folder).rdd.getNumPartitions() <= spark.sparkContext.defaultParallelism, name

@@ -70,3 +70,20 @@ def test_repeated_rows_push_out_no_others(spark, make_docs, monkeypatch):
     labels = spark.createDataFrame([(i, i % 2) for i in ids], "doc_id long, toxic int")
     want = [i for (i,) in labels.where(~toxicity.held_out("doc_id")).select("doc_id").collect()]
     assert sorted(toxicity.train(docs, labels)) == sorted((f"text {i}", i % 2) for i in want)
+
+
+def test_texts_of_a_batch_are_taken_in_slices():
+    import pyarrow as pa
+    from pyspark.sql import types as T
+
+    class Docs:
+        columns, schema = ["text"], T.StructType([T.StructField("text", T.StringType())])
+
+        def mapInArrow(self, work, schema):  # noqa: N802
+            return work
+
+    texts = ["badword " + "x" * (3 << 20), None, "y" * (3 << 20), "badword"]
+    scorer = toxicity.Scorer({"badword": 1.0}, {}, [], [-3.0, 6.0])
+    out = list(toxicity.score(Docs(), scorer)(iter([pa.RecordBatch.from_arrays([pa.array(texts)], ["text"])])))
+    assert len(out) == 2 and [x for b in out for x in b.column("score").to_pylist()] == [scorer.score(t or "") for t in texts]
+    assert [x for b in out for x in b.column("text").to_pylist()] == texts

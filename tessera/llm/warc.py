@@ -151,7 +151,8 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", html:
         yield pa.RecordBatch.from_pylist([{"name": f, "records": k, "bytes": s} for f, k, s in done], schema=pa.schema([("name", pa.string()), ("records", pa.int64()), ("bytes", pa.int64())]))
 
     made = decided.select("id", "uri", "payload", "digest", "owner").mapInArrow(write, "name string, records long, bytes long")
-    return written(made, f"{folder}/manifest").withColumn("path", F.concat(F.lit(archives + "/"), "name"))
+    # a row for each archive, in one file however many tasks there were: a file costs an executor several processes on a local store
+    return written(made.repartition(1), f"{folder}/manifest").withColumn("path", F.concat(F.lit(archives + "/"), "name"))
 
 
 def read_archives(manifest: DataFrame, with_payload: bool = False) -> DataFrame:

@@ -43,3 +43,9 @@ def test_round_trip(spark):
     assert warc.round_trip(pages.limit(0)).count() == 0
     texts = warc.read_archives(warc.write_archives(pages, warc.run_dir(spark, "warc-test")), with_payload=True)
     assert {r.page_id: bytes(r.payload) for r in texts.where("record_type = 'response'").collect()}[7] == ("é" * 600).encode()
+
+
+def test_manifest_is_one_file(spark):
+    pages = spark.range(40).selectExpr("id AS page_id", "'u' AS url", "repeat('x', 10 * int(id)) AS html").repartition(20)
+    manifest = warc.write_archives(pages, warc.run_dir(spark, "warc-files"))
+    assert len(manifest.inputFiles()) == 1 and manifest.agg({"records": "sum"}).first()[0] == 40

@@ -16,6 +16,7 @@ FILE_ROWS, WIDE_ROWS = 1 << 16, 1 << 13
 
 _own_dir: str | None = None
 _made: list[str] = []
+_kept: list[dict] = []
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -66,6 +67,30 @@ def fresh(df: DataFrame, stem: str) -> str:
     return stem
 
 
+def kept() -> dict:
+    """A dictionary that a worker keeps from task to task, until `release`."""
+    _kept.append({})
+    return _kept[-1]
+
+
+def release() -> None:
+    """Empty what this worker keeps, and give the memory back: workers outlive a stage, and the next one has no use for it."""
+    if not any(_kept):
+        return
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    for held in _kept:
+        held.clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def text_of(col: str = "text"):
     """The text with null as the empty text."""
     return F.coalesce(F.col(col), F.lit(""))

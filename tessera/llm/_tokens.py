@@ -17,6 +17,8 @@ from itertools import chain
 
 import numpy as np
 
+from tessera.llm._common import kept
+
 #: A worker's dictionary is emptied at this many units; that costs time only.
 MAX_UNITS = 1_000_000
 #: Texts whose missing units are encoded together.
@@ -28,7 +30,7 @@ TAIL = ".,;:!?%$&*#|"
 SHOWN = [*range(33, 127), *range(161, 173), *range(174, 256)]
 SHOWN = str.maketrans({b: chr(b if b in SHOWN else 256 + sum(x not in SHOWN for x in range(b))) for b in range(256)})
 
-_loaded: dict[tuple[type, str], object] = {}
+_loaded: dict[tuple[type, str], object] = kept()
 
 
 def _plain(word: str) -> bool:

@@ -33,7 +33,7 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm._common import WIDE_ROWS, few, run_dir, text_of, written
+from tessera.llm._common import WIDE_ROWS, few, release, run_dir, text_of, written
 from tessera.llm.simhash import components, linked, majority
 
 #: Words of a shingle, and the least similarity of linked texts.
@@ -107,6 +107,7 @@ def keyed(docs: DataFrame, id_col: str, text: str) -> DataFrame:
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
         for b in batches:
             keys, fps, bands = [], np.zeros(b.num_rows, np.uint64), []
             for k, t in enumerate(b.column("t")):

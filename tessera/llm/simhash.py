@@ -36,6 +36,8 @@ from tessera.llm._common import few, fresh, run_dir, text_of, written
 SHINGLE, SEED, RADIUS = 4, 42, 4
 #: Fingerprints of a leaf aimed at, the least depth of the tree (leaves are tasks), sampled fingerprints at most, rounds of subdivision.
 LEAF, MIN_DEPTH, SAMPLE, ROUNDS = 1 << 17, 5, 1 << 18, 3
+#: Links of a fingerprint for which files are made; more of them make files larger.
+LINKS = 8
 #: Vantage points tried for a node.
 TRIED = 24
 #: Queries and candidates worked on at once.
@@ -349,9 +351,9 @@ def components(edges: DataFrame, name: str = "simhash") -> DataFrame:
 def linked(fps: DataFrame) -> DataFrame:
     """fp and component_id (the smallest id of the class) of every distinct fingerprint of the written rows (id, fp)."""
     spark = fps.sparkSession
-    distinct = written(fps.groupBy("fp").agg(F.min("id").alias("first")), run_dir(spark, "simhash-distinct"))
+    distinct = written(few(fps.groupBy("fp").agg(F.min("id").alias("first")), fps.count()), run_dir(spark, "simhash-distinct"))
     n = distinct.count()
-    edges = written(links(distinct, n), run_dir(spark, "simhash-links"))
+    edges = written(few(links(distinct, n), LINKS * n), run_dir(spark, "simhash-links"))
     roots = distinct.join(components(edges).withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     smallest = roots.groupBy("root").agg(F.min("first").alias("component_id"))
     return written(few(roots.join(smallest, "root").select("fp", "component_id"), n), run_dir(spark, "simhash-classes"))
@@ -373,8 +375,9 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text: str = "text", classe
     name, count = fresh(docs, "kept_id"), fresh(docs, "kept_n")
     kept = classes.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias(name)).agg(F.count("*").alias(count))
     kept = written(few(kept, docs.count()), run_dir(spark, "simhash-kept"))
-    # the ids have no bound on their size, so they are never broadcast, however few they are
-    of = lambda rows: docs.join(rows.select(name).hint("shuffle_hash"), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
+    # the ids have no bound on their size, so they are never broadcast, however few they are; nor hashed, as a task that takes
+    # several partitions for one file would hold the tables of them all until it ends
+    of = lambda rows: docs.join(rows.select(name).hint("merge"), F.col(id_col).eqNullSafe(F.col(name)), "left_semi")
     again = kept.where((F.col(count) > 1) & F.col(name).isNotNull())
     once = of(kept.where((F.col(count) == 1) | F.col(name).isNull()))
     return once if again.isEmpty() else once.unionByName(of(again).dropDuplicates([id_col]))

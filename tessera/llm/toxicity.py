@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm._common import by_bytes, fresh, text_of
+from tessera.llm._common import by_bytes, fresh, release, text_of
 
 #: Labelled rows of each class that the lexicon and the curve are fitted on, at most, and the longest such text.
 MAX_TOXIC, MAX_CLEAN, MAX_CHARS = 2_000, 6_000, 20_000
@@ -291,6 +291,7 @@ def score(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text: str = "
     def work(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        release()
         own = Scorer(*parts)
         for batch in batches:
             for b in by_bytes(batch, at, SLICE_BYTES):

@@ -120,3 +120,11 @@ def test_documents(odd_docs, make_docs):
     kept = simhash.keep_one(odd_docs)
     assert kept.columns == odd_docs.columns
     assert sorted((r.doc_id or 0) for r in kept.collect()) == [0, 1, 3, 4, 5]
+
+
+def test_kept_rows_are_found_without_hash_tables(make_docs):
+    kept = simhash.keep_one(make_docs([(1, "a b c d e"), (2, "a b c d e"), (3, "x y"), (4, None)]))
+    plan = kept._jdf.queryExecution().executedPlan().toString()
+    # a task that writes one file of several partitions would hold all their tables to its end
+    assert "SortMergeJoin" in plan and "HashJoin" not in plan
+    assert sorted(r[0] for r in kept.select("doc_id").collect()) == [1, 3, 4]

@@ -87,3 +87,16 @@ def test_tfidf(spark):
         size = math.sqrt(sum(x * x for x in v.values()))
         want |= {(i, t): x / size for t, x in v.items()}
     assert got.keys() == want.keys() and all(got[x] == pytest.approx(want[x]) for x in want)
+
+
+def test_terms_are_counted_where_their_row_lies(spark):
+    counts = tfidf.counted(spark.createDataFrame([(1, "a b a"), (2, ""), (3, None), (4, "b")], "doc_id int, text string"), "doc_id", tfidf.word_grams(F.col("text")))
+    assert sorted(map(tuple, counts.collect())) == [(1, "a", 2), (1, "a b", 1), (1, "b", 1), (1, "b a", 1), (4, "b", 1)]
+    assert "Exchange" not in counts._jdf.queryExecution().executedPlan().toString()
+
+
+def test_rows_of_one_id_are_one_document(spark):
+    rows = spark.createDataFrame([(1, "a b"), (1, "b"), (None, "c"), (None, "c"), (2, "a")], "doc_id int, text string")
+    counts = tfidf.counted(rows, "doc_id", tfidf.word_grams(F.col("text")))
+    got = [tuple(r) for r in counts.collect()]
+    assert len(got) == 5 and set(got) == {(1, "a", 1), (1, "a b", 1), (1, "b", 2), (2, "a", 1), (None, "c", 2)}

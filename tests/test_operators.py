@@ -207,3 +207,41 @@ def test_findings_are_ranked_in_many_partitions(spark):
     rows = spark.range(4000).select((F.col("id") % 2000).alias("k"), F.col("id").alias("seq"))
     got = N.first_per(rows, ["k"], F.col("seq")).select("k", "seq", F.spark_partition_id().alias("p")).collect()
     assert sorted((r.k, r.seq) for r in got) == [(k, k) for k in range(2000)] and len({r.p for r in got}) > N.GATHERED / 2
+
+
+def test_reviews_are_merged_as_one_by_one(spark):
+    import random
+
+    rng = random.Random(7)
+    severities, sayings = ["critical", "major", "minor", "info", "odd", None], ["sql injection", "xss", "nothing", None]
+
+    def some(source):
+        said = source == "llm"
+        row = lambda i, k: (i, k, rng.choice(["a.py", "`b/a.py`", "c.py"]), rng.choice([None, *range(1, 12)]), rng.choice(["security", "security", "bug", None]), rng.choice(severities), rng.choice(sayings), rng.choice(["", " \x1c ", None, f"s{k}"]), source if said else rng.choice(["rules", "rules", "llm"]), None if said else rng.choice(["CWE-89", "CWE-79", None]), None, f"{source}{k}")
+        return [row(i, k) for i in range(120) for k in rng.sample(range(30), rng.randrange(7))]
+
+    rules, model = some("rules"), some("llm")
+    rank, words = {"critical": 0, "major": 1, "minor": 2, "info": 3}, {"CWE-89": "sql injection", "CWE-79": "xss"}
+    plain = lambda p: p.strip("`").removeprefix("b/")
+    want = []
+    for i in range(120):
+        own = [list(r) for r in sorted((r for r in rules if r[0] == i), key=lambda r: r[1])]
+        rest = []
+        for m in sorted((m for m in model if m[0] == i), key=lambda m: m[1]):
+            def fits(r, m=m):
+                if plain(r[2]) != plain(m[2]) or r[8] != "rules" or m[4] != "security":
+                    return False
+                return abs(m[3] - r[3]) <= 3 if None not in (m[3], r[3]) else r[9] in words and words[r[9]] in f"{m[6]} {m[7]}"
+            hit = next((r for r in own if fits(r)), None)
+            if hit is None:
+                rest.append(list(m))
+                continue
+            hit[8] = "llm+rules"
+            hit[7] = m[7] if (m[7] or "").strip() else hit[7]
+            hit[5] = m[5] if rank.get(m[5], 9) < rank.get(hit[5], 9) else hit[5]
+        want += [(i, k, *r[2:]) for k, r in enumerate(own + rest)]
+    merged = N.merge_review(spark.createDataFrame(rules, N.REVIEW), spark.createDataFrame(model, N.REVIEW))
+    assert sorted(map(str, map(tuple, merged.collect()))) == sorted(map(str, want)) and any(r[8] == "llm+rules" for r in want)
+    # no worker in Python, and one shuffle for all that follows
+    plan = merged._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    assert "MapInArrow" not in plan and plan.count("Exchange hashpartitioning") == 1
